@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import chunks, ship, texts_of
+from offerlane.llm.common import ship
 from offerlane.llm.licenses import words_of
 
 WORDS = 5
@@ -41,8 +41,8 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    words = words_of(text)
+def word_hashes(text: str) -> np.ndarray:
+    words = words_of(text.lower().encode())
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
@@ -68,7 +68,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.n_words, self.k, self.counts, held = [], [], [], [], []
         for item_id, text in rows:
-            w = word_hashes((text or "").encode())
+            w = word_hashes(text or "")
             if len(w):
                 k = min(WORDS, len(w))
                 self.ids.append(item_id)
@@ -147,11 +147,10 @@ _HITS = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, simi
 def _hits(blocks: list[Items]):
     @F.pandas_udf(_HITS)
     def hits(texts: pd.Series) -> pd.Series:
-        out, raw = [], [(t or "").lower().encode() for t in texts]
-        for a, b in chunks(raw):
-            for t in raw[a:b]:
-                h = word_hashes(t)
-                out.append([{"item_id": i, "first_word": s, "n_words": n, "similarity": x} for items in blocks for i, s, n, x in items.search(h)])
+        out = []
+        for t in texts:
+            h = word_hashes(t or "")
+            out.append([{"item_id": i, "first_word": s, "n_words": n, "similarity": x} for items in blocks for i, s, n, x in items.search(h)])
         return pd.Series(out)
 
     return hits

@@ -34,6 +34,8 @@ def price(values: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     """The unbounded knapsack: values[l] is length l's (0: not there). The best total within size, and how often each
     length is in it."""
     gain = np.where(values > 0, values, -np.inf)[1:]
+    if not len(gain):
+        return 0.0, np.zeros(len(values), np.int64)
     best, took = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
         with_l = best[c - 1 :: -1][: len(gain)] + gain[:c]
@@ -47,6 +49,27 @@ def price(values: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), counts
 
 
+def _first_columns(lengths: np.ndarray, need: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible start: column j holds the longest length that is left and the best filling of the room beside it, and is
+    used until one length runs out, which later columns don't hold. So the columns are a triangular basis."""
+    m = len(lengths)
+    left, alive, columns, used = need.copy(), np.ones(m, bool), np.zeros((m, m)), np.zeros(m)
+    for j in range(m):
+        longest = int(np.flatnonzero(alive)[-1])
+        room = size - int(lengths[longest])
+        values = np.zeros(room + 1)
+        fits = np.flatnonzero(alive & (lengths <= room))
+        values[lengths[fits]] = lengths[fits] * (1 + 1e-4 * left[fits] / max(left.max(), 1e-9))
+        columns[fits, j] = price(values, room)[1][lengths[fits]]
+        columns[longest, j] += 1
+        n = np.where(columns[:, j] > 0, left / np.maximum(columns[:, j], 1), np.inf)
+        out = int(n.argmin())
+        used[j] = n[out]
+        left = np.maximum(left - used[j] * columns[:, j], 0)
+        alive[out] = False
+    return columns, used
+
+
 def patterns(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """counts: how many remainders have a length. Patterns that fill a sequence, and how often each is used; together
     they use no length more often than it occurs."""
@@ -54,8 +77,8 @@ def patterns(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) ->
     if not len(lengths):
         return []
     need = np.array([counts[x] for x in lengths], float)
-    columns = np.diag(size // lengths)
-    inverse, x = np.diag(1.0 / (size // lengths)), need / (size // lengths)
+    columns, x = _first_columns(lengths, need, size)
+    inverse = np.linalg.inv(columns)
     least = float(lengths @ need) / size
     for _ in range(rounds):
         if x.sum() <= 1.0002 * least:
@@ -66,7 +89,7 @@ def patterns(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) ->
         if total <= 1 + 1e-7:
             break
         new = chosen[lengths]
-        d = inverse @ new
+        d = inverse @ new.astype(float)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
@@ -76,6 +99,7 @@ def patterns(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) ->
         d[out] = 0
         inverse -= np.outer(d, inverse[out])
         columns[:, out] = new
+    columns = columns.astype(np.int64)
     used = np.floor(x + 1e-7).astype(np.int64)
     left, result = need.astype(np.int64), []
     for p in np.lexsort((np.arange(len(used)), -used)):

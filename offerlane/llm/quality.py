@@ -29,10 +29,32 @@ _KINDS = 10
 _KIND = np.zeros(256, np.int64)
 for _k, _chars in ((1, bytes(range(97, 123)) + bytes(range(128, 256))), (2, bytes(range(65, 91))), (3, b"0123456789"), (4, b" \t"), (5, b".,"), (6, b"!"), (7, b"?;:'\"-()"), (8, b"|"), (9, b"#$%&*+/<=>@[\\]^_`{}~")):
     _KIND[list(_chars)] = _k
-OWN = _KINDS + 3  # shares, word length, length, sameness with the line before
+OWN = _KINDS + 5  # shares, word length, length, words like the one before, distinct words, sameness with the line before
 FEATURES = 3 * OWN
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+def _repetition(body: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, the share of its words that are like the word before, and that of its distinct words."""
+    blank = (body == 32) | (body == 9) | (body == 10) | (body == 13)
+    begins = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    if not len(begins):
+        return np.zeros(n_lines), np.ones(n_lines)
+    ends = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1
+    power = np.cumprod(np.full(len(body), _ODD))
+    sums = np.append(np.uint64(0), np.cumsum((body + np.uint64(1)) * power))
+    word = (sums[ends] - sums[begins]) * np.cumprod(np.full(len(body), _UNDO))[begins]
+    of = line[begins]
+    n = np.bincount(of, minlength=n_lines)
+    like = np.append(False, (word[1:] == word[:-1]) & (of[1:] == of[:-1]))
+    _, first = np.unique(word ^ ((of.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
+    n_one = np.maximum(n, 1)
+    return np.bincount(of, like, minlength=n_lines) / n_one, np.where(n > 0, np.bincount(of[first], minlength=n_lines) / n_one, 1)
+
+
 def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The features of all lines of the texts, their lengths in bytes, and how many lines each text has. Lines end at \\n;
     lines without a byte are no lines."""
@@ -44,11 +66,13 @@ def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.repeat(np.arange(len(stops)), size + 1)
     kinds = np.bincount(line * _KINDS + _KIND[body], minlength=len(stops) * _KINDS).reshape(-1, _KINDS)
     kinds[:, 0] -= 1  # the line feed itself
+    like, distinct = _repetition(body, line, len(stops))
     keep = size > 0
+    like, distinct = like[keep], distinct[keep]
     kinds, size, text_of = kinds[keep].astype(np.float64), size[keep], text_of[keep]
     share = kinds / np.maximum(size, 1)[:, None]
     words = kinds[:, 4] + 1
-    own = np.column_stack((share, np.log1p(size / words), np.log1p(size) / 5, np.zeros(len(size))))
+    own = np.column_stack((share, np.log1p(size / words), np.log1p(size) / 5, like, distinct, np.zeros(len(size))))
     first = np.append(True, text_of[1:] != text_of[:-1]) if len(size) else np.zeros(0, bool)
     if len(size) > 1:
         own[1:, -1] = np.where(first[1:], 0, np.exp(-10 * np.abs(share[1:] - share[:-1]).sum(1)))
