@@ -13,12 +13,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import ship
-from offerlane.llm.licenses import words_of
+from offerlane.llm.common import chunks, flat, run_hashes, runs_of, ship
+from offerlane.llm.licenses import WORD_BYTES
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -30,20 +29,11 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _WITHIN_2 = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= 2
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = words_of(text.lower().encode())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, and where each text's words end. Words are those of words_of()."""
+    body, ends = flat([t.lower().encode().translate(WORD_BYTES) + b" " for t in texts])
+    begins, stops = runs_of(body == 32)
+    return run_hashes(body, begins, stops), np.searchsorted(begins, ends)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -68,7 +58,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.n_words, self.k, self.counts, held = [], [], [], [], []
         for item_id, text in rows:
-            w = word_hashes(text or "")
+            w, _ = word_hashes([text or ""])
             if len(w):
                 k = min(WORDS, len(w))
                 self.ids.append(item_id)
@@ -108,14 +98,24 @@ class Items:
         both = sum(min(n, theirs[s]) * get(s, self.rare) for s, n in counts.items() if s in theirs)
         return both / (sum(n * get(s, self.rare) for c in (counts, theirs) for s, n in c.items()) - both)
 
+    def hits(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of k words, and where those stand that an item has too."""
+        h = shingles(hashes, k)
+        at = np.flatnonzero(self.bits[k][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        return h, at[np.isin(h[at], self.sets[k])] if len(at) else at
+
+    def search_all(self, hashes: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[int, int, int, float]]]:
+        """Of several documents whose words follow each other, search() of those that share a shingle with an item."""
+        some = np.unique(np.concatenate([np.searchsorted(ends, self.hits(hashes, k)[1], side="right") for k in self.sets]))
+        begins = np.append(0, ends[:-1])
+        return {int(d): found for d in some if (found := self.search(hashes[begins[d] : ends[d]]))}
+
     def search(self, hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
         """The best window for each item of one document: (item_id, first word, words, similarity)."""
         found: dict[int, tuple[float, int, int]] = {}
-        for k, own in self.sets.items():
-            h = shingles(hashes, k)
-            at = np.flatnonzero(self.bits[k][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = at[np.isin(h[at], own)] if len(at) else at
-            windows = {(max(0, min(p - q, len(hashes) - self.n_words[i])), self.n_words[i]) for p in at.tolist() for i, q in self.places[int(h[p])] if self.k[i] == k and len(hashes) >= k}
+        for k in self.sets:
+            h, at = self.hits(hashes, k)
+            windows = {(max(0, min(p - q, len(hashes) - self.n_words[i])), self.n_words[i]) for p in at.tolist() for i, q in self.places[int(h[p])] if self.k[i] == k}
             for start, n in sorted(windows):
                 mine = h[start : start + max(1, n - k + 1)]
                 counts = None
@@ -147,10 +147,11 @@ _HITS = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, simi
 def _hits(blocks: list[Items]):
     @F.pandas_udf(_HITS)
     def hits(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            h = word_hashes(t or "")
-            out.append([{"item_id": i, "first_word": s, "n_words": n, "similarity": x} for items in blocks for i, s, n, x in items.search(h)])
+        values, out = [t or "" for t in texts], []
+        for a, b in chunks(values):
+            hashes, ends = word_hashes(values[a:b])
+            found = [items.search_all(hashes, ends) for items in blocks]
+            out += [[{"item_id": i, "first_word": s, "n_words": n, "similarity": x} for f in found for i, s, n, x in f.get(d, ())] for d in range(b - a)]
         return pd.Series(out)
 
     return hits

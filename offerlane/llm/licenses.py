@@ -35,11 +35,12 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
 }
 
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: Bytes of words, A-Z lower-cased; all others are blanks.
+WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_WORDS).split()
+    return text.translate(WORD_BYTES).split()
 
 
 @dataclass(frozen=True)

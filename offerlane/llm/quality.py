@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import chunks, flat, fold, ship, texts_of
+from offerlane.llm.common import chunks, flat, fold, run_hashes, runs_of, ship, texts_of
 
 #: Labelled documents that the field is fitted to, at most: those with the smallest hash of their id.
 TRAIN_DOCS = 4000
@@ -33,20 +33,13 @@ OWN = _KINDS + 5  # shares, word length, length, words like the one before, dist
 FEATURES = 3 * OWN
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_UNDO = np.uint64(pow(int(_ODD), -1, 1 << 64))
-
-
 def _repetition(body: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
     """For each line, the share of its words that are like the word before, and that of its distinct words."""
     blank = (body == 32) | (body == 9) | (body == 10) | (body == 13)
-    begins = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    begins, ends = runs_of(blank)
     if not len(begins):
         return np.zeros(n_lines), np.ones(n_lines)
-    ends = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1
-    power = np.cumprod(np.full(len(body), _ODD))
-    sums = np.append(np.uint64(0), np.cumsum((body + np.uint64(1)) * power))
-    word = (sums[ends] - sums[begins]) * np.cumprod(np.full(len(body), _UNDO))[begins]
+    word = run_hashes(body, begins, ends)
     of = line[begins]
     n = np.bincount(of, minlength=n_lines)
     like = np.append(False, (word[1:] == word[:-1]) & (of[1:] == of[:-1]))

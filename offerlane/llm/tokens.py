@@ -21,7 +21,7 @@ from offerlane.llm.common import chunks, ship, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens whose ids a Python worker keeps between batches; beyond, it forgets all and goes on.
-KEPT = 400_000
+KEPT = 200_000
 _SLOTS = 1 << 19
 #: Fixed value: how the vocabulary's byte-level pre-tokenizer splits.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"

@@ -278,7 +278,7 @@ def test_decontamination_is_exact_weighted_similarity():
         for _ in range(int(rng.integers(0, 3))):
             words[int(rng.integers(30))] = "changed"
         doc = text(50) + words + text(40)
-        h = decontaminate.word_hashes(" ".join(doc))
+        h, _ = decontaminate.word_hashes([" ".join(doc)])
         s = decontaminate.shingles(h, 5)
         best = {}
         for j in range(20):
