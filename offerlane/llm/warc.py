@@ -20,13 +20,17 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import shared_dir, ship, texts_of
+from offerlane.llm.common import checkpointed, shared_dir, ship, texts_of
 
 #: Ids in a shard's range; a range with more than four times as many rows is several shards, by hash of the payload.
 SHARD_IDS = 4096
 ROLL_BYTES = 256 << 20
 #: Payloads shorter than this are never revisits.
 REVISIT_BYTES = 100
+#: Groups of equal payloads whose digests are broadcast (about 100 bytes each); more are joined.
+BROADCAST_GROUPS = 500_000
+#: Partitions that the shards are dealt into, at most.
+PARTITIONS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
@@ -76,6 +80,8 @@ def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     firsts = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    firsts = checkpointed(firsts)
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_GROUPS else firsts
 
     def compress(batches):
         for b in batches:
@@ -98,8 +104,9 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     """
     ship(pages.sparkSession)
     rows = _decided(pages, id_col, url_col, html_col).withColumn("shard", F.coalesce(F.expr(f"floor(page_id / {shard_ids})"), F.lit(-(1 << 62))))
-    crowded = pages.select(F.coalesce(F.expr(f"floor(cast({id_col} as long) / {shard_ids})"), F.lit(-(1 << 62))).alias("shard")).groupBy("shard").count()
-    crowded = crowded.where(F.col("count") > 4 * shard_ids).select("shard", F.expr(f"count div {shard_ids}").alias("parts"))
+    sizes = pages.select(F.coalesce(F.expr(f"floor(cast({id_col} as long) / {shard_ids})"), F.lit(-(1 << 62))).alias("shard")).groupBy("shard").count()
+    sizes = checkpointed(sizes)
+    crowded = sizes.where(F.col("count") > 4 * shard_ids).select("shard", F.expr(f"count div {shard_ids}").alias("parts"))
     rows = rows.join(crowded, "shard", "left").withColumn("part", F.pmod(F.xxhash64("digest", "page_id"), F.coalesce("parts", F.lit(1))))
     attempt_root = f"{root}/_temporary"
 
@@ -139,7 +146,7 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["name", "path", "records", "bytes", "sha256"])
 
     order = ["shard", "part", F.col("page_id").asc_nulls_first(), "digest", F.col("url").asc_nulls_first()]
-    dealt = rows.select("page_id", "url", "digest", "n_bytes", "member", "refers_to", "shard", "part").repartition("shard", "part").sortWithinPartitions(*order)
+    dealt = rows.select("page_id", "url", "digest", "n_bytes", "member", "refers_to", "shard", "part").repartition(max(1, min(sizes.count(), PARTITIONS)), "shard", "part").sortWithinPartitions(*order)
     written = dealt.mapInArrow(write, "name string, path string, records long, bytes long, sha256 string").collect()  # a row for each file
     files, base = _files(root)
     files.create_dir(base, recursive=True)
