@@ -8,6 +8,7 @@ The symbols that survive are the tokens.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cache
 
@@ -24,7 +25,18 @@ VOCABULARY = "byte_bpe_50k.json"
 KEPT = 200_000
 _SLOTS = 1 << 19
 #: Fixed value: how the vocabulary's byte-level pre-tokenizer splits.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+_SPLIT = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+# the same over U+0000 to U+00FF, with those classes written out, for the faster engine
+_LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_SPLIT_LATIN = f" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -57,7 +69,7 @@ class Merger:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.made = np.append(made, 0)
         self._index(pairs)
-        self.split = regex.compile(_SPLIT)
+        self.split, self.split_latin = regex.compile(_SPLIT).findall, re.compile(_SPLIT_LATIN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kept: dict[str, bytes] = {}
 
@@ -126,21 +138,23 @@ class Merger:
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:
         """The text between special strings, and those (True)."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return [(text, False)]
         return [(p, i % 2 == 1) for i, p in enumerate(self.cut.split(text)) if p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers. Special strings in a text are their own ids."""
-        split, parts = self.split.findall, []
+        parts = []
         for t in texts:
+            split = self.split_latin if _is_latin(t) else self.split
+            if not any(s in t for s in self.special):
+                parts.append(split(t))
+                continue
             own: list[str] = []
             for p, special in self.pieces(t):
                 own += [("\0" + p)] if special else split(p)
             parts.append(own)
         if len(self.kept) > KEPT:
             self.kept.clear()
-        new = list({w for own in parts for w in own if w not in self.kept})
+        new = list(set().union(*parts).difference(self.kept))
         plain = [w for w in new if not (w[0] == "\0" and w[1:] in self.special)]
         for w in new:
             if w[0] == "\0" and w[1:] in self.special:
