@@ -5,9 +5,9 @@ shards of bounded size. An incoming batch is first grouped by digest on its own;
 filter of its shard; only positives join the snapshot's exact buckets. Filters never refuse what they hold, so the
 result doesn't depend on them.
 
-An exact bucket is compared by SHA-256 of the normalised bytes, their length and 64 bits of their SHA-512: bytes that
-differ can't pass unnoticed, and the job stops with an error should two ever disagree. The texts themselves are read
-once, where they lie, and aren't shuffled.
+Exact buckets are keyed by SHA-256, and all texts of a bucket with more than one row are then compared byte by byte: by
+the bucket's least and greatest text, of which every task sends one pair, so a hot group is never gathered. Texts that
+are alone are neither compared nor shuffled. Should two texts of a bucket ever differ, the job stops with an error.
 """
 
 from __future__ import annotations
@@ -24,38 +24,49 @@ from offerlane.llm.fuse import FuseFilter
 
 #: Digests in a shard: what one task builds a filter of, or screens, at a time.
 SHARD = 65_536
+#: Digests of shared texts that are broadcast to find their rows (32 bytes each); more are joined.
+BROADCAST_DIGESTS = 1_000_000
+#: Parts that the rows of a digest are dealt into where they are joined.
+SALT = 64
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    groups: DataFrame  # sha, best, n, check, n_bytes: a row for each digest
+    groups: DataFrame  # sha, best, n: a row for each digest
     filters: DataFrame  # shard, filter
     shards: int
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, check, n_bytes, rank) of every row. Null texts count as empty; white space of ASCII is deleted
-    before hashing. rank orders equal texts: most code points first, then the smallest id, null ids last."""
+def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, points, norm, sha): norm is the text without ASCII white space; null counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("points"), F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "").alias("norm"))
-    return rows.select(
-        "doc_id",
-        F.unhex(F.sha2("norm", 256)).alias("sha"),
-        F.conv(F.substring(F.sha2("norm", 512), 1, 15), 16, 10).cast("long").alias("check"),
-        F.octet_length("norm").cast("long").alias("n_bytes"),
-        F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")).alias("rank"),
-    )
+    return rows.select("*", F.unhex(F.sha2("norm", 256)).alias("sha"))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sha, rank) of every row. rank orders equal texts: most code points first, then the smallest id, null ids
+    last."""
+    rank = F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    return _normalised(docs, id_col, text_col).select("doc_id", "sha", rank.alias("rank"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """A row for each digest; partial minima and counts come before the shuffle, so a hot digest is a row a task."""
-    same = (F.min("check") == F.max("check")) & (F.min("n_bytes") == F.max("n_bytes"))
-    best = F.min("rank").alias("best")
-    return (
-        rows.groupBy("sha")
-        .agg(best, F.count(F.lit(1)).alias("n"), F.min("check").alias("check"), F.min("n_bytes").alias("n_bytes"), same.alias("same"))
-        .select("sha", "best", "n", F.when(F.col("same"), F.col("check")).otherwise(F.raise_error(F.lit("texts of one SHA-256 differ"))).alias("check"), "n_bytes")
-    )
+    return rows.groupBy("sha").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+def check_bytes(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_DIGESTS) -> None:
+    """Compare all texts of each bucket in groups(sha, n) that has more than one row; an error if two differ."""
+    shared = checkpointed(groups.where("n > 1").select("sha"))
+    texts = _normalised(docs, id_col, text_col).select("sha", "norm", F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALT)).alias("salt"))
+    if shared.count() <= most:
+        texts = texts.join(F.broadcast(shared), "sha", "left_semi")
+    else:
+        texts = texts.join(shared.select("sha", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")), ["sha", "salt"], "left_semi")
+    ends = texts.groupBy("sha").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    if ends.where("least <> greatest").limit(1).count():
+        raise RuntimeError("texts of one SHA-256 differ")
 
 
 def _shard(shards: int):
@@ -96,11 +107,9 @@ def merge(batch_rows: DataFrame, snapshot: Snapshot) -> DataFrame:
     screened = fresh.join(screen(fresh, snapshot), "sha")
     screened = checkpointed(screened)
     maybe, new = screened.where("maybe"), screened.where("not maybe").select("sha", "best", "n")
-    old = snapshot.groups.select("sha", F.col("best").alias("old_best"), F.col("n").alias("old_n"), F.col("check").alias("old_check"), F.col("n_bytes").alias("old_bytes"))
-    both = old.join(maybe.select("sha", "best", "n", "check", "n_bytes"), "sha", "full")
-    differ = F.col("old_check").isNotNull() & F.col("check").isNotNull() & ((F.col("old_check") != F.col("check")) | (F.col("old_bytes") != F.col("n_bytes")))
-    least = F.when(differ, F.raise_error(F.lit("texts of one SHA-256 differ"))).otherwise(F.least("old_best", "best"))
-    merged = both.select("sha", least.alias("best"), (F.coalesce("old_n", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
+    old = snapshot.groups.select("sha", F.col("best").alias("old_best"), F.col("n").alias("old_n"))
+    both = old.join(maybe.select("sha", "best", "n"), "sha", "full")
+    merged = both.select("sha", F.least("old_best", "best").alias("best"), (F.coalesce("old_n", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
     return merged.unionByName(new)
 
 
@@ -113,7 +122,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = checkpointed(digests(docs, id_col, text_col))
     old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    groups = merge(rows.where(~old), build_snapshot(rows.where(old)))
+    groups = checkpointed(merge(rows.where(~old), build_snapshot(rows.where(old))))
+    check_bytes(docs, groups, id_col, text_col)
     return (
         rows.select("doc_id", "sha", "rank")
         .join(groups, "sha")

@@ -194,6 +194,23 @@ def test_exact_whole_table_and_odd_rows(spark, docs, odd, none):
     assert exact.exact_duplicates(none).count() == 0
 
 
+def test_byte_checks_find_texts_that_differ(spark, docs):
+    rows = exact.digests(docs)
+    groups = rows.groupBy("sha").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n")
+    for most in (1_000_000, 0):
+        exact.check_bytes(docs, groups, most=most)
+    from pyspark.sql import functions as F
+
+    real, exact.F.sha2 = F.sha2, lambda c, n: F.lit("ab" * 32)
+    try:
+        wrong = spark.createDataFrame([(bytes.fromhex("ab" * 32), 2)], "sha binary, n long")
+        for most in (1_000_000, 0):
+            with pytest.raises(RuntimeError):
+                exact.check_bytes(docs, wrong, most=most)
+    finally:
+        exact.F.sha2 = real
+
+
 # 4
 
 
