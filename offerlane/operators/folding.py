@@ -10,6 +10,8 @@ a task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +62,25 @@ def fold_copies(df: DataFrame, id_col: str = "id") -> DataFrame:
     rows = rows.withColumn("key", F.when(F.length("key") >= 12, F.col("key")))
     nodes = rows.where("key is not null").groupBy("key", *_FACTS).agg(F.min("id").alias("node"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        facts = [tuple(None if pd.isna(v) else v for v in r) for r in pdf[_FACTS].itertuples(index=False)]
-        return pd.DataFrame({"node": pdf["node"], "root": fold_nodes(list(zip(pdf["node"], facts)))})
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def folded() -> list[tuple[str, str]]:
+            return [(n, r) for (n, _), r in zip(held, fold_nodes(held))]
+
+        for pdf in frames:
+            out: list[tuple[str, str]] = []
+            values = pdf[_FACTS].astype(object).where(pdf[_FACTS].notna(), None)
+            for k, node, facts in zip(pdf["key"], pdf["node"], values.itertuples(index=False, name=None)):
+                if k != key:
+                    out += folded()
+                    key, held = k, []
+                held.append((node, facts))
+            yield pd.DataFrame(out, columns=["node", "root"])
+        yield pd.DataFrame(folded(), columns=["node", "root"])
 
-    roots = nodes.groupBy("key").applyInPandas(fold, "node string, root string")
+    # one pass over sorted rows, so that short groups cost nothing but their rows
+    roots = nodes.repartition("key").sortWithinPartitions("key", "node").mapInPandas(walk, "node string, root string")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ["key", *_FACTS]]
     cond = same[0]
     for s in same[1:]:

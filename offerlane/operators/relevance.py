@@ -26,14 +26,13 @@ class Query:
     blocked: list[str] = field(default_factory=list)
 
 
-def token_score(title: Column, query: str) -> Column:
-    """The share of the query's words that stand in a title, whole or glued; 0 where a stated size is another one."""
+def token_score(words: Column, stated: Column, query: str) -> Column:
+    """The share of the query's words that stand in a title, whole or glued; 0 where a stated size is another one. words
+    and stated: the title's tokens and sizes."""
     wanted = [w for w in query.lower().split() if w]
-    words = text.tokens(title)
     forms = F.concat(words, text.ngrams(words, 2))
     matched = F.size(F.array_intersect(F.array(*map(F.lit, wanted)), forms)) / F.lit(float(max(1, len(set(wanted)))))
     asked = text.sizes_gb(F.lit(query))
-    stated = text.sizes_gb(title)
     other = (F.size(asked) > 0) & (F.size(stated) > 0) & ~F.arrays_overlap(asked, stated)
     return F.when(other, 0.0).otherwise(matched)
 
@@ -48,8 +47,10 @@ def relevance_reason(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
     """df with relevance and drop_reason (null: it stays); every row stays in the table. The price rule looks at the
     upper median of each answer (keys)."""
     middle = upper_median(df.where(F.col("price_cents").between(0, SANE_CENTS)), "price_cents", keys, "_middle").drop("n")
-    rows = df.join(middle, keys, "left").withColumn("relevance", token_score(F.col("title"), query.words))
-    words = text.tokens(F.col("title"))
+    # titles are read once: what is made of them are columns of their own
+    rows = df.withColumn("_words", text.tokens(F.col("title"))).withColumn("_sizes", text.sizes_gb(F.col("title")))
+    rows = rows.withColumn("relevance", token_score(F.col("_words"), F.col("_sizes"), query.words)).join(middle, keys, "left")
+    words = F.col("_words")
     asks = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws))) & F.lit(not set(ws) & set(query.words.lower().split()))
     several = F.lit(len(set(query.words.split())) > 1)
     reason = (
@@ -62,4 +63,4 @@ def relevance_reason(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
         .when(several & (F.col("relevance") < SCORE_FLOOR), "off target")
         .when(~several & (F.col("relevance") <= 0), "off target")
     )
-    return rows.withColumn("drop_reason", reason).drop("_middle")
+    return rows.withColumn("drop_reason", reason).drop("_middle", "_words", "_sizes")
