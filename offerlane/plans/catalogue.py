@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from offerlane.plans import models, offers, others  # noqa: F401
+from offerlane.plans import models, more, offers, others  # noqa: F401
 from offerlane.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
