@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that Python code holds as words or arrays at a time.
 CHUNK_BYTES = 1 << 20
+#: How many keys can count as hot in look_up, whatever the size of the rows.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def look_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows and the other columns of found(key, n, ...), whose n is at least the number of rows under the key.
+
+    total bounds the sum of n. Keys with more than total / HOT_KEYS rows (100 at least) are fewer than HOT_KEYS, so they
+    are broadcast and their rows stay where they lie; only the rows of other keys are shuffled. Rows whose key isn't in
+    found are dropped, or kept with nulls if how is "left".
+    """
+    over, values = max(100, total // HOT_KEYS), [c for c in found.columns if c != key]
+    hot = found.where(F.col("n") > over).select(key, F.struct(*values).alias("hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    here = marked.where("hot is not null").select(*rows.columns, *(F.col(f"hot.{c}").alias(c) for c in values))
+    there = marked.where("hot is null").select(*rows.columns).join(found.where(F.col("n") <= over), key, how)
+    return here.unionByName(there.select(*rows.columns, *values))
+
+
 def fold(col_id: str, parts: int):
     """crc32 of the id as text, modulo parts: the folds that the contracts name. Null for a null id."""
     return F.crc32(F.col(col_id).cast("string").cast("binary")) % parts

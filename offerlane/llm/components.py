@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import checkpointed
+from offerlane.llm.common import checkpointed, look_up
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a long, b long) -> (node, root): root is the smallest node reachable. Nodes without an edge to another
     node are left out. Null ends and loops are ignored; repeated edges count once. Empty edges give an empty table.
 
-    Every round is two grouped minima and two joins, so no node's neighbours are ever gathered in one row; a hub's
-    rows are only probed, and adaptive skew joins may split them. Each round ends in a checkpoint.
+    Every round is two grouped minima and two joins, so no node's neighbours are ever gathered in one row, and the edges
+    of a hub stay where they lie (look_up). Each round ends in a checkpoint.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
     e = checkpointed(e.distinct())
@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(lower.withColumnRenamed("m", "v").unionByName(moved).distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = look_up(both.where("v > u"), least, "u", 2 * mark[0])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = look_up(large, lower, "u", mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpointed(lower.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
         now = _mark(e)
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

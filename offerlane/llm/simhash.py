@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import checkpointed, ship, texts_of
+from offerlane.llm.common import checkpointed, look_up, ship, texts_of
 from offerlane.llm.components import connected_components
 
 #: Distinct fingerprints under one key that one task compares (64 KB of them).
@@ -142,14 +142,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint (null if only rows without id have that), and joins no components. Other columns of docs are not read.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
-    distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).where("id is not null"))
     found = connected_components(hamming_links(distinct.select("fp"), radius, blocks, hot_size))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    with_id = members.join(distinct, members["node"] == distinct["fp"]).select("node", "root", "id")
-    least = with_id.groupBy("root").agg(F.min("id").alias("component"))
-    linked = with_id.join(least, "root").select(F.col("node").alias("fp"), "component")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    with_id = members.join(distinct, members["node"] == distinct["fp"]).select("fp", "root", "id")
+    least = with_id.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n"))
+    linked = look_up(with_id, least, "root", distinct.count()).select("fp", "component")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    return look_up(fps, named, "fp", fps.count(), "left").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from offerlane.llm import components, decontaminate, exact, fuse, language, licenses, packing, quality, queries, simhash, tokens, urls, warc
+from offerlane.llm import common, components, decontaminate, exact, fuse, language, licenses, packing, quality, queries, simhash, tokens, urls, warc
 from offerlane.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -136,6 +136,21 @@ def slow_base(text):
     return len(ws), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def test_components_of_hubs(spark):
+    """Two stars with more edges than stay cold, joined by one edge, and a small one beside them."""
+    rows = [(1, i) for i in range(10, 700)] + [(i, 2) for i in range(1000, 1800)] + [(699, 1000), (5000, 5001), (5001, 5000), (7, 7)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {n: 1 for n in [2, *range(10, 700), *range(1000, 1800)]} | {5001: 5000}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_look_up_is_a_join_for_hot_and_cold_keys(spark, how):
+    rows = [(i % 7 if i % 3 else 100, i) for i in range(1200)] + [(None, -1), (55, -2)]
+    found = [(k, sum(r[0] == k for r in rows), None if k == 3 else f"v{k}") for k in (100, *range(6))]
+    left, right = spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame(found, "k long, n long, v string")
+    assert sorted(common.look_up(left, right, "k", len(rows), how).collect(), key=lambda r: r.i) == sorted(left.join(right, "k", how).collect(), key=lambda r: r.i)
+
+
 def test_licenses_whole_table(spark, texts):
     got = queries.op2_license_scan(spark, SMALL).collect()
     assert len(got) == len(texts)
