@@ -64,3 +64,29 @@ def relevance_reason(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
         .when(~several & (F.col("relevance") <= 0), "off target")
     )
     return rows.withColumn("drop_reason", reason).drop("_middle", "_words", "_sizes")
+
+
+#: A model code of joined parts or one long word, and specifications written the same way.
+MODEL_CODE, SPEC_CODE = "[a-z0-9]+(?:-[a-z0-9]+)+|[a-z0-9]{6,}", "^(?:ddr[0-9]|pc[0-9]|usb[0-9]|[0-9]+(?:gb|tb|mb|w|mm|kg)$)"
+
+
+def is_the_part(title: Column, number: str) -> Column:
+    """Whether a title has a part number, or the last seven of its eleven digits."""
+    compact = F.regexp_replace(F.lower(title), "[^a-z0-9]", "")
+    forms = [number] + ([number[-7:]] if len(number) == 11 and number.isdigit() else [])
+    found = F.lit(False)
+    for f in forms:
+        found = found | F.contains(compact, F.lit(f))
+    return found
+
+
+def model_codes(title: Column) -> Column:
+    codes = F.transform(F.regexp_extract_all(F.lower(title), F.lit(MODEL_CODE), F.lit(0)), lambda c: F.replace(c, F.lit("-"), F.lit("")))
+    digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
+    return F.filter(codes, lambda c: (F.length(c) >= 5) & (digits(c) >= 2) & (digits(c) < F.length(c)) & ~F.rlike(c, F.lit(SPEC_CODE)))
+
+
+def names_another_model(title: Column, code: str) -> Column:
+    """Whether a title prints a model code that is neither the one asked for nor a shorter or longer form of it."""
+    asked = F.lit(code)
+    return F.exists(model_codes(title), lambda c: ~F.startswith(asked, c) & ~F.contains(c, asked))

@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from offerlane.plans import drives, models, more, offers, others, repairs  # noqa: F401
+from offerlane.plans import drives, models, more, offers, others, repairs, vehicles  # noqa: F401
 from offerlane.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
