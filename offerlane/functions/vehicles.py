@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 KM = "([0-9]{1,3}(?:[. ][0-9]{3})+|[0-9]{1,7}) ?km(?:$|[^a-z/])"
 THOUSAND_KM = "(?:^|[^0-9.,])([0-9]{1,3}) ?(?:tkm|tsd[.]? ?km)(?:$|[^a-z])"
 KW, PS = "(?:^|[^0-9.,])([0-9]{2,4}) ?kw(?:$|[^a-z])", "(?:^|[^0-9.,])([0-9]{2,4}) ?ps(?:$|[^a-z])"
-LABELLED_YEAR = "(?:ez|erstzulassung|baujahr)[ :]*(?:[0-9]{2}/)?((?:19|20)[0-9]{2})"
+INSPECTION = "(?:^|[^a-zäöü])(?:tüv|hu|au)[^a-z0-9][^0-9]{0,8}(?:[0-9]{2}/)?(?:19|20)[0-9]{2}"
+LABELLED_YEAR = "(?:^|[^a-zäöü])(?:ez|erstzulassung|baujahr|bj[.]?)[ :]*(?:[0-9]{2}/)?((?:19|20)[0-9]{2})"
 YEAR = "(?:^|[^0-9./])((?:19|20)[0-9]{2})(?:$|[^0-9€.])"
 CCM, LITRES = "([0-9]{3,4}) ?(?:ccm|cm³)", "(?:^|[^0-9])([0-9])[.,]([0-9]) ?(?:liter|tdi|tsi|cdi|hdi)"
 TOWBAR = "anhängerkupplung|ahk"
@@ -41,8 +42,9 @@ def power_kw(text: Column) -> Column:
 
 
 def first_year(text: Column) -> Column:
-    """The year a text labels as the registration's, else the latest it names that isn't part of a date or price."""
-    bare = F.array_max(F.filter(_all(text, YEAR), lambda y: y.between(1980, 2035)))
+    """The year a text labels as the registration's, else the latest it names that isn't part of a date, a price or an inspection's."""
+    dated = F.regexp_replace(F.lower(text), INSPECTION, " ")
+    bare = F.array_max(F.filter(_all(dated, YEAR), lambda y: y.between(1980, 2035)))
     return F.coalesce(_first(text, LABELLED_YEAR), bare)
 
 

@@ -12,7 +12,7 @@ MILEAGE = "(?:laufleistung|kilometerstand)[ :]*([0-9][0-9.]*) ?km"
 MANUAL, AUTOMATIC = "schaltgetriebe|handschaltung", "automatikgetriebe|automatik-"
 FEES = ["überführung", "zulassung", "bereitstellung"]
 FEE = "{kind}[^0-9.]{{0,12}}([0-9][0-9.]*) ?(?:€|eur)"
-INCLUDED = "inkl(?:usive)?[^.]*"
+INCLUDED = "inkl(?:usive|[.])?[^.]*"
 NET, GROSS, WITH_VAT = "netto|zzgl", "brutto[ :]*([0-9][0-9.]*) ?(?:€|eur)", "inkl. mwst"
 HIRED, FROM_FLEET = "zu vermieten|mietpreis|verleih", "aus der vermietung|mietrückläufer"
 PERIODS = {"DAY": "pro tag|tagesmiete", "WEEKEND": "wochenende", "WEEK": "pro woche|wochenmiete", "MONTH": "pro monat|monatsmiete"}

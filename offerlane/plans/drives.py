@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlane.functions import drives, text
+from offerlane.operators import joins
 from offerlane.plans.registry import query
-from offerlane.sources.tables import LISTINGS_SQL, listings, mapped
+from offerlane.sources.tables import LISTINGS_SQL, listings, mapped, table
 
 _WITH = f"WITH {LISTINGS_SQL}"
 
@@ -98,3 +99,39 @@ def source_capabilities(spark, sf_dir):
     sent = can("sold") & (~can("price") | cheap)
     g = listings(spark, sf_dir).where("sold").groupBy("platform").agg(F.count_if(sent).alias("sent"), F.count_if(can("sold") & cheap).alias("kept"))
     return g.withColumn("refused", mapped("platform", {p: "has no sold offers" for p, c in CAPABILITIES.items() if "sold" not in c}))
+
+
+@query(
+    f"""{_WITH}, d AS (SELECT platform, strftime(listed_at, '%Y-%m') AS run, part, min(price_cents) AS cents, CAST(200000 - min(mileage_km) AS BIGINT) AS life FROM listings WHERE mileage_km IS NOT NULL AND sale_type IS DISTINCT FROM 'AUCTION' GROUP BY ALL),
+f AS (SELECT *, max(life) OVER (PARTITION BY platform, run ORDER BY cents RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, max(life) OVER (PARTITION BY platform, run ORDER BY cents RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cheaper FROM d),
+n AS (SELECT platform, part, min(run) AS run FROM f WHERE life = upto AND (cheaper IS NULL OR life > cheaper) GROUP BY ALL), s AS (SELECT platform, min(run) AS began FROM d GROUP BY platform)
+SELECT n.platform, n.part, n.run FROM n JOIN s USING (platform) WHERE n.run > s.began"""
+)
+def new_on_the_front(spark, sf_dir):
+    """What came onto a source's front of price and life, told once, in the run that first had it there; a source's first run tells nothing."""
+    rows = listings(spark, sf_dir).where(F.col("mileage_km").isNotNull() & ~F.col("sale_type").eqNullSafe("AUCTION"))
+    d = rows.groupBy("platform", F.date_format("listed_at", "yyyy-MM").alias("run"), "part").agg(F.min("price_cents").alias("cents"), (200_000 - F.min("mileage_km")).alias("life"))
+    news = joins.front(d, ["platform", "run"], "cents", "life").groupBy("platform", "part").agg(F.min("run").alias("run"))
+    began = d.groupBy("platform").agg(F.min("run").alias("began"))  # a row for each source
+    return news.join(F.broadcast(began), "platform").where("run > began").select("platform", "part", "run")
+
+
+@query(
+    f"""{_WITH}, c AS (SELECT p_partkey AS part, p_brand AS checked FROM part WHERE p_size % 9 = 0), x AS (SELECT id, checked, CASE WHEN contains(lower(title), 'red') THEN 'RED' END AS titled, CASE WHEN listings.part % 3 = 0 THEN 'MENTIONED' END AS mentioned, listings.part % 6 = 0 AS real, CASE WHEN listings.part % 4 = 1 THEN 'LOOKALIKE' END AS seen FROM listings LEFT JOIN c ON c.part = listings.part)
+SELECT id, CASE WHEN checked IS NOT NULL THEN checked WHEN titled IS NOT NULL THEN titled WHEN mentioned IS NOT NULL THEN CASE WHEN real THEN mentioned ELSE 'none' END ELSE seen END AS model,
+CASE WHEN checked IS NOT NULL OR titled IS NOT NULL THEN 1.0::DOUBLE WHEN mentioned IS NOT NULL THEN CASE WHEN real THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END WHEN seen IS NOT NULL THEN 0.8::DOUBLE END AS sure FROM x"""
+)
+def model_guesses(spark, sf_dir):
+    """The model an offer is of: as checked, else as titled, else as its text says (or only mentions), else as its photos look."""
+    c = F.col
+    checked = table(spark, sf_dir, "part").where("p_size % 9 = 0").select(c("p_partkey").alias("part"), c("p_brand").alias("checked"))
+    rows = listings(spark, sf_dir).select("id", "part", "title").join(checked, "part", "left")
+    by = lambda model, sure: F.struct(model.alias("model"), F.lit(sure).alias("sure"))
+    mentioned = F.when(c("part") % 6 == 0, by(F.lit("MENTIONED"), 0.9)).otherwise(by(F.lit("none"), 0.0))
+    guess = F.coalesce(
+        F.when(c("checked").isNotNull(), by(c("checked"), 1.0)),
+        F.when(F.contains(F.lower("title"), F.lit("red")), by(F.lit("RED"), 1.0)),
+        F.when(c("part") % 3 == 0, mentioned),
+        F.when(c("part") % 4 == 1, by(F.lit("LOOKALIKE"), 0.8)),
+    )
+    return rows.select("id", guess.alias("g")).select("id", "g.model", "g.sure")

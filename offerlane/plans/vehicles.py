@@ -14,8 +14,8 @@ _WITH = f"WITH {LISTINGS_SQL}"
 #: Texts of vehicles for the parts, as SQL that Spark and DuckDB read alike.
 _TEXT = """CASE part % 7
  WHEN 0 THEN concat('EZ 03/2016, 2.0 TDI, 150 PS, ', part, ' km gelaufen, Anhängerkupplung')
- WHEN 1 THEN '132 TKM, 103 kW, Bj. 2014, TÜV 2026, VB 12.500 €, 1968 ccm'
- WHEN 2 THEN concat('Laufleistung 89.900 km, bei 45.000 km Service, 180 km/h, ', 1985 + part % 40, ' gebaut')
+ WHEN 1 THEN concat('132 TKM, 103 kW, Bj. 2014, TÜV 2026', CASE WHEN part % 2 = 0 THEN ' neu, HU 08/2027, gekauft 2016' ELSE '' END, ', VB 12.500 €, 1968 ccm')
+ WHEN 2 THEN concat('Laufleistung 89.900 km, bei 45.000 km Service, 180 km/h, ', 1985 + part % 40, ' gebaut, TÜV 2027')
  WHEN 3 THEN 'Erstzulassung: 2011, 4.000.000 km, 9000 kW'
  WHEN 4 THEN '1,6 HDI, 85 Tsd. km, Baujahr 1999, AHK'
  WHEN 5 THEN 'leer' END"""
@@ -25,21 +25,22 @@ def _first(p: str) -> str:
     return f"TRY_CAST(regexp_extract(lower(t), '{p}', 1) AS INTEGER)"
 
 
-def _all(p: str) -> str:
-    return f"list_transform(regexp_extract_all(lower(t), '{p}', 1), lambda s: TRY_CAST(regexp_replace(s, '[. ]', '', 'g') AS INTEGER))"
+def _all(p: str, said: str = "lower(t)") -> str:
+    return f"list_transform(regexp_extract_all({said}, '{p}', 1), lambda s: TRY_CAST(regexp_replace(s, '[. ]', '', 'g') AS INTEGER))"
 
 
 def _band(x: str, low: int, high: int) -> str:
     return f"CASE WHEN {x} BETWEEN {low} AND {high} THEN {x} END"
 
 
+_DATED = f"regexp_replace(lower(t), '{vehicles.INSPECTION}', ' ', 'g')"
 _CC = f"TRY_CAST(concat(regexp_extract(lower(t), '{vehicles.LITRES}', 1), regexp_extract(lower(t), '{vehicles.LITRES}', 2)) AS INTEGER) * 100"
 
 
 @query(f"""{_WITH}, x AS (SELECT id, {_TEXT} AS t FROM listings) SELECT id,
  list_max(list_filter(list_concat({_all(vehicles.KM)}, list_transform({_all(vehicles.THOUSAND_KM)}, lambda k: k * 1000)), lambda k: k BETWEEN 1 AND 2000000)) AS mileage_km,
  coalesce({_band(_first(vehicles.KW), 20, 1000)}, CAST(round_even(({_band(_first(vehicles.PS), 30, 1500)}) / {vehicles.PS_OF_KW}::DOUBLE, 0) AS INTEGER)) AS power_kw,
- coalesce({_first(vehicles.LABELLED_YEAR)}, list_max(list_filter({_all(vehicles.YEAR)}, lambda y: y BETWEEN 1980 AND 2035))) AS first_year,
+ coalesce({_first(vehicles.LABELLED_YEAR)}, list_max(list_filter({_all(vehicles.YEAR, _DATED)}, lambda y: y BETWEEN 1980 AND 2035))) AS first_year,
  coalesce({_band(_first(vehicles.CCM), 600, 8000)}, {_band(_CC, 600, 8000)}) AS displacement_cc, regexp_matches(lower(t), '{vehicles.TOWBAR}') AS towbar FROM x""")
 def vehicle_texts(spark, sf_dir):
     """Mileage, power, year, engine size and towbar, as a text states them."""
