@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlane.llm import decontaminate, exact, packing, quality, simhash
+from offerlane.llm import decontaminate, exact, near, packing, quality
 from offerlane.llm.common import shared_dir, table
 
 
@@ -25,10 +25,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHash of five-word shingles: the smallest id."""
-    groups = simhash.near_duplicates(docs, words=5)
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each group of near copies, with or without id: the smallest id. Texts link at a Jaccard similarity of
+    their five-word shingles of 0.8 or more."""
+    return near.without_near_copies(docs, words=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,18 @@ def look_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str =
     return here.unionByName(there.select(*rows.columns, *values))
 
 
+def one_row(docs: DataFrame, mark, kept: DataFrame) -> DataFrame:
+    """Exactly one row of docs, with all its columns, for each mark of kept(mark, n), whose n is at least the number of
+    docs' rows that have it. Of several rows the least by all columns stays. Marks may hold nulls: they are told by hash."""
+    told = lambda c: F.sha2(F.to_json(c, {"ignoreNullFields": "false"}), 256)
+    found = checkpointed(kept.select(told(F.col("mark")).alias("_mark"), "n"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = look_up(docs.select("*", told(mark).alias("_mark")), found, "_mark", total)
+    alone, several = rows.where("n = 1"), rows.where("n > 1")
+    several = several.groupBy("_mark").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return alone.select(*docs.columns).unionByName(several.select("row.*"))
+
+
 def fold(col_id: str, parts: int):
     """crc32 of the id as text, modulo parts: the folds that the contracts name. Null for a null id."""
     return F.crc32(F.col(col_id).cast("string").cast("binary")) % parts
