@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import checkpointed, ship
+from offerlane.llm.common import checkpointed, one_row, ship
 from offerlane.llm.fuse import FuseFilter
 
 #: Digests in a shard: what one task builds a filter of, or screens, at a time.
@@ -113,6 +113,15 @@ def merge(batch_rows: DataFrame, snapshot: Snapshot) -> DataFrame:
     return merged.unionByName(new)
 
 
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """digests() of docs, and (sha, best, n) of each digest, compared byte by byte."""
+    rows = checkpointed(digests(docs, id_col, text_col))
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    groups = checkpointed(merge(rows.where(~old), build_snapshot(rows.where(old))))
+    check_bytes(docs, groups, id_col, text_col)
+    return rows, groups
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of docs.
 
@@ -120,12 +129,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points, then the smallest id stays. Rows that repeat both id and length of a kept row are marked kept too; rows with
     a null id stay only in a group that has no id. Empty tables give empty results; other columns aren't read.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
-    old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    groups = checkpointed(merge(rows.where(~old), build_snapshot(rows.where(old))))
-    check_bytes(docs, groups, id_col, text_col)
+    rows, groups = _decided(docs, id_col, text_col)
     return (
         rows.select("doc_id", "sha", "rank")
         .join(groups, "sha")
         .select("doc_id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rank") == F.col("best")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, and of each group of equal texts exactly one row: most code points, then the smallest
+    id, null ids last. Rows without id, and rows that repeat an id, are kept and dropped like others."""
+    _, groups = _decided(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sha = F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256))
+    mark = F.struct(sha.alias("sha"), (-F.char_length(text).cast("long")).alias("points"), F.col(id_col).cast("long").alias("id"))
+    return one_row(docs, mark, groups.select(F.struct("sha", "best.points", "best.id").alias("mark"), "n"))

@@ -42,3 +42,14 @@ def test_near_stage_links_a_large_group_and_rows_without_id(spark):
     got = [tuple(r) for r in corpus_pipeline.near_stage(spark, docs, "").collect()]
     assert sorted(r[0] for r in got if r[0] is not None) == [0, *range(100, 120), 200]
     assert sorted((r[1] or "").strip() for r in got if r[0] is None) == ["", "a text of its own without id here"]
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    rows = [(None, "without id, alone"), (None, "without id, twice"), (None, "without id, twice"), (None, None), (None, "")]
+    rows += [(1, "a repeated row"), (1, "a repeated row"), (2, "one id and two texts"), (2, "a copy of three"), (1, "a copy of three"), (3, "a copy of three")]
+    rows += [(None, "a copy with an id elsewhere"), (9, "a copy with an id elsewhere"), (4, "a b"), (4, " ab"), (4, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(None, "without id, alone"), (None, "without id, twice"), (None, ""), (1, "a repeated row"), (2, "one id and two texts"), (1, "a copy of three"), (9, "a copy with an id elsewhere"), (4, "ab")}
+    for stage in (corpus_pipeline.exact_stage, lambda s, d, at: corpus_pipeline.near_stage(s, corpus_pipeline.exact_stage(s, d, at), at)):
+        got = [(r[0], (r[1] or "").replace("a b", "ab").strip()) for r in stage(spark, docs, "").collect()]
+        assert len(got) == len(want) and set(got) == want
