@@ -24,17 +24,26 @@ TEMPLATES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the [[software]] {2} to deal in [[the]] software without restriction",
     "apache-2.0": "licensed under the apache license [[version]] 2 0 [[the license]]",
     "mit-notice": "[[this {3} is]] released under the [[terms of the]] mit license",
-    "gpl-3.0": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]]",
-    "gpl-2.0": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]]",
-    "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0 [[international]] [[license]]",
-    "cc-by-sa-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0 [[international]] [[license]]",
-    "cc-by-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0 [[international]] [[license]]",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "isc-grant": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
 }
 
+_PARTS = "[[licensed]] [[redistribute it and or modify it]] under the [[terms of the]] {} [[license]] [[as published by the free software foundation]] [[either]] {} [[of the license]]"
+_GNU = {"gpl": ("gnu general public", ["3", "2"]), "lgpl": ("gnu lesser general public", ["3", "2 1"]), "agpl": ("gnu affero general public", ["3"])}
+_CC = {"by": "attribution", "by nc": "attribution noncommercial", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+
+#: Labels whose published notices have several wordings: any of them.
+WORDINGS = {label: [t] for label, t in TEMPLATES.items()}
+WORDINGS["mit-notice"] += [f"[[this {{3}} is]] {w} under the [[terms of the]] mit license" for w in ("licensed", "distributed", "available")]
+for _name, (_words, _versions) in _GNU.items():
+    for _v in _versions:
+        _label = f"{_name}-{_v.replace(' ', '.') if ' ' in _v else _v + '.0'}"
+        WORDINGS[_label] = [_PARTS.format(_words, f"{mark}{_v}") for mark in ("version ", "v")]
+for _short, _long in _CC.items():
+    WORDINGS[f"cc-{_short.replace(' ', '-')}-4.0"] = [f"[[licensed]] under [[a]] [[the]] [[creative commons]] {w} 4 0 [[international]] [[public]] [[license]]" for w in (f"cc {_short}", f"creative commons {_long}", f"creative commons {_long.replace('noncommercial', 'non commercial').replace('sharealike', 'share alike')}")]
+
 #: Bytes of words, A-Z lower-cased; all others are blanks.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -105,7 +114,7 @@ class Automaton:
         return None
 
 
-AUTOMATA = {label: Automaton.compile(t) for label, t in TEMPLATES.items()}
+AUTOMATA = {label: [Automaton.compile(t) for t in dict.fromkeys(ts)] for label, ts in WORDINGS.items()}
 _PHRASES = {(" " + p + " ").encode(): label for p, label in BASE.items()}
 
 
@@ -122,7 +131,8 @@ def scan(text: bytes) -> dict:
             base.add(label)
             at = line.find(phrase, at + 1)
     starts = [line.count(b" ", 0, at) for at in (min(places), max(places))] if places else [None, None]
-    spans = {label: span for label, a in AUTOMATA.items() if a.anchor in line and (span := a.find(words))}
+    found = {label: [span for a in some if a.anchor in line and (span := a.find(words))] for label, some in AUTOMATA.items()}
+    spans = {label: min(at) for label, at in found.items() if at}
     return {"n_words": len(words), "n_base": len(places), "first_word": starts[0], "last_word": starts[1], "base": base, "spans": spans, "score": 1.0 if spans else 0.5 if base else 0.0}
 
 
