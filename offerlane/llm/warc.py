@@ -1,36 +1,40 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are dealt into shards by ranges of their page id and sorted inside; a shard's files roll over when their
-compressed size passes a bound. Tasks write under temporary names of their own; the driver, knowing from the tasks that
-succeeded which files count, renames those and then puts the manifest in place, so a lost executor or a second attempt
-leaves nothing but files that no manifest names. The same pages give the same files, byte for byte.
+Which record is a response and which a revisit, and where shards begin, is decided on slim keys (page id, digest, size):
+a shard is a range of the keys' order, and the bounds are quantiles, by bytes, of a sample that a hash of the keys picks,
+so they follow from the pages alone. Then every page moves once, to its shard's task, where records are sorted, written,
+and files roll over when their compressed size passes a bound. Decisions travel to the same shards as rows of their own.
+
+Tasks write under temporary names of their own; a second job, knowing from the tasks that succeeded which files count,
+renames those and writes the manifest, which counts once its _SUCCESS is there. A lost executor or a second attempt
+leaves nothing but files that no manifest names. Files, their names and their bytes follow from the pages.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import json
 import re
 import uuid
 import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import checkpointed, shared_dir, ship, texts_of
+from offerlane.llm.common import checkpointed, look_up, shared_dir, ship
 
-#: Ids in a shard's range; a range with more than four times as many rows is several shards, by hash of the payload.
-SHARD_IDS = 4096
-ROLL_BYTES = 256 << 20
+#: Bytes of payload in a shard, about; up to FEW shards are as small as LEAST_BYTES, so that small tables use several tasks.
+SHARD_BYTES, LEAST_BYTES, FEW = 256 << 20, 4 << 20, 32
+#: Shards at most (each a task; they grow beyond SHARD_BYTES after that), and keys sampled for each.
+SHARDS, SAMPLED = 20_000, 16
+#: Compressed bytes after which a file rolls over.
+ROLL_BYTES = 32 << 20
 #: Payloads shorter than this are never revisits.
 REVISIT_BYTES = 100
-#: Groups of equal payloads whose digests are broadcast (about 100 bytes each); more are joined.
-BROADCAST_GROUPS = 500_000
-#: Partitions that the shards are dealt into, at most.
-PARTITIONS = 20_000
+#: Bytes that a record has besides its payload, about.
+HEAD_BYTES = 600
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
@@ -75,91 +79,142 @@ def _info(name: str) -> bytes:
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, digest, n_bytes, member (compressed response; null for revisits), refers_to."""
+def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, html, digest, n_bytes, key (orders by page id, nulls first, then digest, then url)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    firsts = checkpointed(firsts)
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_GROUPS else firsts
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
+    return rows.select("*", F.concat(_prefix(), F.lpad(F.hex(F.xxhash64("url")), 16, "0")).alias("key"))
 
-    def compress(batches):
-        for b in batches:
-            ids, urls, texts, digests = b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), b.column(3).to_pylist()
-            members = [record(i, u, t, d, len(t)) for i, u, t, d in zip(ids, urls, texts, digests)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(map(len, texts), pa.int64()), pa.array(members, pa.binary())], ["page_id", "url", "digest", "n_bytes", "member"])
 
-    members = rows.mapInArrow(compress, "page_id long, url string, digest string, n_bytes long, member binary")
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return members.join(firsts, "digest", "left").select("page_id", "url", "digest", "n_bytes", F.when(~other, F.col("member")).alias("member"), F.when(other, F.col("first")).alias("refers_to"))
+def _prefix() -> Column:
+    ordered = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(ordered, F.lit("-")), "digest")
 
 
-def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_ids: int = SHARD_IDS, roll_bytes: int = ROLL_BYTES) -> str:
-    """Write a record for each row of pages under root, and return the manifest's path.
+def _bounds(slim: DataFrame, shards: int, total: int) -> list[str]:
+    """The keys at which shards begin, but the first. A key whose copies outgrow a shard is split by fractions."""
+    each = total / (shards * SAMPLED)
+    size = F.col("n") * (F.col("n_bytes") + HEAD_BYTES)
+    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    # about SAMPLED keys a shard
+    sample = sorted((r["key"], max(float(r["size"]), each)) for r in slim.select("key", size.alias("size")).where(chance < size / each).collect())
+    step, at, bounds = sum(w for _, w in sample) / shards, 0.0, []
+    for key, w in sample:
+        while len(bounds) < shards - 1 and (wanted := (len(bounds) + 1) * step) < at + w:
+            bounds.append(f"{key}{int((wanted - at) / w * 0xFFFFFFFF):08X}" if w > step else key)
+        at += w
+    return bounds
+
+
+def _shard_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds a key has reached, by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(bounds)), ",")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def _revisits(slim: DataFrame, total: int) -> DataFrame:
+    """(page_id, digest, first) of the records that revisit another. Nothing but ids and digests is shuffled."""
+    able = slim.where(F.col("n_bytes") >= REVISIT_BYTES)
+    firsts = able.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    found = look_up(able.select("page_id", "digest"), firsts, "digest", total)
+    return found.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+
+
+_FILE = "shard int, nth int, name string, path string, records long, bytes long, sha256 string"
+_NAMED = "shard int, nth int, name string, records long, bytes long, sha256 string"
+_TYPES = {"shard": pa.int32(), "nth": pa.int32(), "name": pa.string(), "path": pa.string(), "records": pa.int64(), "bytes": pa.int64(), "sha256": pa.string()}
+
+
+def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _TYPES[k]) for k in names], names)
 
-    Of records with equal payloads of at least 100 bytes, that with the smallest page id is a response and the others
-    revisit it; rows that repeat its id are responses too. A null id is dealt to a shard of its own kind, and is a
-    revisit where an equal payload has an id. Null html counts as empty; a null url leaves its header out. Other columns
-    aren't read. No pages give a manifest without files.
-    """
-    ship(pages.sparkSession)
-    rows = _decided(pages, id_col, url_col, html_col).withColumn("shard", F.coalesce(F.expr(f"floor(page_id / {shard_ids})"), F.lit(-(1 << 62))))
-    sizes = pages.select(F.coalesce(F.expr(f"floor(cast({id_col} as long) / {shard_ids})"), F.lit(-(1 << 62))).alias("shard")).groupBy("shard").count()
-    sizes = checkpointed(sizes)
-    crowded = sizes.where(F.col("count") > 4 * shard_ids).select("shard", F.expr(f"count div {shard_ids}").alias("parts"))
-    rows = rows.join(crowded, "shard", "left").withColumn("part", F.pmod(F.xxhash64("digest", "page_id"), F.coalesce("parts", F.lit(1))))
-    attempt_root = f"{root}/_temporary"
+
+def _writer(attempts: str, roll_bytes: int):
+    """Sorted rows (shard, page_id, digest, first, url, html, n_bytes) -> a row for each file written. A row without html
+    says what the records of its page id and digest refer to."""
 
     def write(batches):
-        files, base = _files(attempt_root)
+        files, base = _files(attempts)
         base = f"{base}/{uuid.uuid4().hex}"
-        out, now, opened = None, None, None
-        done: list[tuple] = []
+        out, now, revisit, done = None, {}, (None, None, None), []
 
         def close():
             nonlocal out
             if out is not None:
                 out.close()
-                done.append((opened["name"], opened["path"], opened["records"], opened["bytes"], opened["sha"].hexdigest()))
+                now["sha256"] = now.pop("sha").hexdigest()
+                done.append(dict(now))
                 out = None
 
         def put(data: bytes, records: int):
             out.write(data)
-            opened["records"] += records
-            opened["bytes"] += len(data)
-            opened["sha"].update(data)
+            now["records"] += records
+            now["bytes"] += len(data)
+            now["sha"].update(data)
 
         for b in batches:
-            for page_id, url, digest, n_bytes, member, refers_to, shard, part in zip(*(c.to_pylist() for c in b.columns)):
-                if (shard, part) != now or opened["bytes"] >= roll_bytes:
+            for shard, page_id, digest, first, url, html, n_bytes in zip(*(c if i == 5 else c.to_pylist() for i, c in enumerate(b.columns))):
+                if (payload := html.as_py()) is None:
+                    revisit = (page_id, digest, first)
+                    continue
+                if out is None or shard != now["shard"] or now["bytes"] >= roll_bytes:
                     close()
-                    nth = opened["nth"] + 1 if (shard, part) == now else 0
-                    now = (shard, part)
-                    tag = "null" if shard == -(1 << 62) else f"{shard:+020d}"
-                    name = f"pages-{tag}-{part:05d}-{nth:05d}.warc.gz"
-                    opened = {"name": name, "path": f"{base}/{name}", "records": 0, "bytes": 0, "sha": hashlib.sha256(), "nth": nth}
+                    nth = now["nth"] + 1 if shard == now.get("shard") else 0
+                    name = f"pages-{shard:06d}-{nth:05d}.warc.gz"
+                    now.update(shard=shard, nth=nth, name=name, path=f"{base}/{name}", records=0, bytes=0, sha=hashlib.sha256())
                     files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(opened["path"], compression=None)
+                    out = files.open_output_stream(now["path"], compression=None)
                     put(_info(name), 0)
-                put(member if member is not None else record(page_id, url, b"", digest, n_bytes, refers_to), 1)
+                put(record(page_id, url, payload, digest, n_bytes, revisit[2] if revisit[:2] == (page_id, digest) else None), 1)
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["name", "path", "records", "bytes", "sha256"])
+        yield _batch(done, list(_TYPES))
 
-    order = ["shard", "part", F.col("page_id").asc_nulls_first(), "digest", F.col("url").asc_nulls_first()]
-    dealt = rows.select("page_id", "url", "digest", "n_bytes", "member", "refers_to", "shard", "part").repartition(max(1, min(sizes.count(), PARTITIONS)), "shard", "part").sortWithinPartitions(*order)
-    written = dealt.mapInArrow(write, "name string, path string, records long, bytes long, sha256 string").collect()  # a row for each file
-    files, base = _files(root)
-    files.create_dir(base, recursive=True)
-    manifest = []
-    for r in sorted(written, key=lambda r: r["name"]):
-        files.move(r["path"], f"{base}/{r['name']}")
-        manifest.append({k: r[k] for k in ("name", "records", "bytes", "sha256")})
-    with files.open_output_stream(f"{base}/manifest.json.tmp") as f:
-        f.write(json.dumps({"files": manifest}, indent=1).encode())
-    files.move(f"{base}/manifest.json.tmp", f"{base}/manifest.json")
-    if manifest:
-        files.delete_dir(f"{base}/_temporary")
-    return f"{root}/manifest.json"
+    return write
+
+
+def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, least_bytes: int = LEAST_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
+    """Write a record for each row of pages under root, and return the manifest's path (a folder of JSON lines).
+
+    Of records with equal payloads of at least 100 bytes, that with the smallest page id is a response and the others
+    revisit it; rows that repeat its id are responses too. A record without id is a revisit where an equal payload has an
+    id. Null html counts as empty; a null url leaves its header out. Other columns aren't read. No pages give a manifest
+    without files. The same pages give the same files, but for rows alike in id, url and payload that outgrow a shard:
+    how many of them stand in each of several files hangs on how the table is split.
+    """
+    spark = pages.sparkSession
+    ship(spark)
+    rows = _rows(pages, id_col, url_col, html_col)
+    slim = checkpointed(rows.groupBy("page_id", "digest", "n_bytes", "key").agg(F.count(F.lit(1)).alias("n")))
+    total = slim.agg(F.coalesce(F.sum(F.expr(f"n * (n_bytes + {HEAD_BYTES})")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("keys")).first()
+    shards = min(SHARDS, max(1, -(-total["bytes"] // shard_bytes), min(FEW, total["bytes"] // least_bytes)))
+    bounds = _bounds(slim, shards, total["bytes"])
+    ends = F.sequence(_shard_of(_prefix(), bounds), _shard_of(F.concat(_prefix(), F.lit("~")), bounds))
+    told = _revisits(slim, total["keys"]).select(F.explode(ends).alias("shard"), "page_id", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), F.lit(0).cast("long").alias("n_bytes"))
+    fraction = F.lpad(F.hex(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32))), 8, "0")
+    dealt = rows.select(_shard_of(F.concat("key", fraction), bounds).alias("shard"), "page_id", "digest", F.lit(None).cast("long").alias("first"), "url", F.col("html").cast("binary").alias("html"), "n_bytes")
+    order = ["shard", F.col("page_id").asc_nulls_first(), "digest", F.col("html").isNotNull(), F.col("url").asc_nulls_first()]
+    both = dealt.unionByName(told).repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
+    attempts = f"{root}/_attempts"
+    both.mapInArrow(_writer(f"{attempts}/files", roll_bytes), _FILE).write.json(f"{attempts}/written")
+
+    def commit(batches):
+        files, base = _files(root)
+        for b in batches:
+            found = b.to_pylist()
+            for r in found:
+                if files.get_file_info(r["path"]).type == pafs.FileType.File:  # else an earlier attempt has moved it
+                    files.move(r["path"], f"{base}/{r['name']}")
+                elif files.get_file_info(f"{base}/{r['name']}").size != r["bytes"]:
+                    raise FileNotFoundError(r["path"])
+            yield _batch(found, [n for n in _TYPES if n != "path"])
+
+    spark.read.schema(_FILE).json(f"{attempts}/written").mapInArrow(commit, _NAMED).write.json(f"{root}/manifest")
+    files, base = _files(attempts)
+    files.delete_dir(base)
+    return f"{root}/manifest"
 
 
 def _members(stream):
@@ -199,11 +254,14 @@ _ROW_SQL = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def read_warc(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
-    """A row for each record that the manifest's files hold; records and digests are checked while reading."""
+    """A row for each record that the manifest's files hold; records and digests are checked while reading. A task reads
+    the files of a shard."""
     ship(spark)
     files, base = _files(root)
-    with files.open_input_stream(f"{base}/manifest.json") as f:
-        names = [x["name"] for x in json.loads(f.read())["files"]]
+    if files.get_file_info(f"{base}/manifest/_SUCCESS").type != pafs.FileType.File:
+        raise FileNotFoundError(f"{root} has no whole manifest")
+    listed = spark.read.schema(_NAMED).json(f"{root}/manifest")
+    shards = (listed.agg(F.max("shard").alias("n")).first()["n"] or 0) + 1
     keep = [k for k in _ROW if payloads or k != "payload"]
     schema = ", ".join(x for x in _ROW_SQL.split(", ") if payloads or not x.startswith("payload "))
 
@@ -223,8 +281,7 @@ def read_warc(spark: SparkSession, root: str, payloads: bool = True) -> DataFram
                             rows, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _ROW[k]) for k in keep], keep)
 
-    listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 10_000)))
-    return listed.mapInArrow(read, schema)
+    return listed.repartitionById(shards, F.col("shard")).select("name").mapInArrow(read, schema)
 
 
 def archived(pages: DataFrame, root: str | None = None) -> DataFrame:
