@@ -56,14 +56,14 @@ def convert(amount: Column, source: Column, target: str = "EUR", rates: dict[str
 _NUMBER = r"[0-9][0-9., ]*"
 
 
+#: Signs of currencies. Of several in a text, that of the upper row counts.
+CURRENCY_SIGNS = [("€", "EUR"), ("EUR", "EUR"), ("$", "USD"), ("USD", "USD"), ("CHF", "CHF"), ("£", "GBP"), ("GBP", "GBP"), ("zł", "PLN"), ("PLN", "PLN"), ("Kč", "CZK"), ("CZK", "CZK"), ("DKK", "DKK"), ("SEK", "SEK"), ("NOK", "NOK")]
+
+
 def currency_in(text: Column) -> Column:
-    """The currency a text names, by the first sign that it holds in this order."""
-    signs = [("EUR", "€", "EUR"), ("USD", "$", "USD"), ("CHF", "CHF", "CHF"), ("GBP", "£", "GBP"), ("PLN", "zł", "PLN"), ("CZK", "Kč", "CZK"), ("DKK", "DKK", "DKK"), ("SEK", "SEK", "SEK"), ("NOK", "NOK", "NOK")]
-    chosen = None
-    for code, one, other in signs:
-        hit = F.contains(text, F.lit(one)) | F.contains(text, F.lit(other))
-        chosen = F.when(hit, code) if chosen is None else chosen.when(hit, code)
-    return chosen
+    """The currency a text names by a sign, or null."""
+    table = F.array(*(F.struct(F.lit(sign).alias("sign"), F.lit(code).alias("code")) for sign, code in CURRENCY_SIGNS))
+    return F.get(F.filter(table, lambda row: F.contains(text, row["sign"])), 0)["code"]
 
 
 def parse_cents(text: Column) -> Column:
@@ -79,4 +79,4 @@ def parse_cents(text: Column) -> Column:
         .when((dot | comma) & (tail <= 2), F.replace(s, F.lit(","), F.lit(".")))
         .otherwise(F.regexp_replace(s, "[.,]", ""))
     )
-    return F.round(plain.try_cast("double") * 100).cast("long")
+    return F.round(plain.try_cast("double") * 100).try_cast("long")

@@ -15,8 +15,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def ramp(x: Column, bad: float, good: float) -> Column:
-    """0 at bad, 1 at good, straight between, clamped."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - bad) / (good - bad)))
+    """0 at bad, 1 at good, straight between, clamped; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - bad) / (good - bad))))
 
 
 def drive_hours(km: Column) -> Column:
@@ -38,3 +38,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def softmax(v: Column) -> Column:
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def log_softmax(v: Column) -> Column:
+    top = F.array_max(v)
+    total = F.ln(F.aggregate(v, F.lit(0.0), lambda s, y: s + F.exp(y - top)))
+    return F.transform(v, lambda x: x - top - total)
+
+
+def unit(v: Column) -> Column:
+    """The vector at length one."""
+    return F.transform(v, lambda x: x / F.sqrt(dot(v, v)))

@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlane.functions.numbers import cosine
+#: Queries and references of a block: what a task multiplies at a time.
+QUERIES, REFERENCES = 1024, 4096
 
-#: Bytes of reference vectors that are sent to all executors; more are joined without a hint.
-BROADCAST_BYTES = 64 << 20
 
+def _blocks(df: DataFrame, columns: list[str], vector: str, size: int, name: str) -> DataFrame:
+    """df in rows of about size vectors each: ids and further columns as arrays, vectors as one array of doubles."""
+    blocks = max(1, -(-df.count() // size))
+    rows = df.select(*columns, F.transform(vector, lambda x: x.cast("double")).alias("_v"), F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).alias("_block"))
+    return rows.groupBy("_block").agg(F.collect_list(F.struct(*columns, "_v")).alias(name)).drop("_block")
 
-def similarities(df: DataFrame, references: DataFrame, key: str, digits: int | None = 6) -> DataFrame:
-    """Each row with each reference (other, theirs, ...) but itself. References are a stated, small set: they're counted,
-    and broadcast only under a bound."""
-    size = references.agg(F.coalesce(F.sum(F.size("theirs") * 4), F.lit(0)).alias("n")).first()["n"]
-    refs = F.broadcast(references) if size <= BROADCAST_BYTES else references
-    sim = cosine(F.col("embedding"), F.col("theirs"))
-    sim = sim if digits is None else F.round(sim * 10**digits) / 10**digits
-    return df.crossJoin(refs).where(F.col(key) != F.col("other")).withColumn("sim", sim).drop("embedding", "theirs")
 
+def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, by: str | None = None, digits: int | None = 6) -> DataFrame:
+    """(key, other, sim), and by: the k likest references of each query by cosine, for each value of a column if `by` is
+    given; ties by the smaller id. No vector is its own reference.
 
-def knn_vote(df: DataFrame, references: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, score): the nearest k references' worth, weighted by (sim + 1) / 2, at least 0.01."""
-    sims = similarities(df, references, key)
-    near = sims.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), "other"))).where(F.col("_rank") <= k)
+    Queries are a stated part of the table; they meet all references in blocks, a matrix product each, and of each pair of
+    blocks only k rows a query (and value) are left before anything is shuffled.
+    """
+    columns = [key, *([by] if by else [])]
+    met = _blocks(queries, [key], vector, QUERIES, "_q").crossJoin(_blocks(references, columns, vector, REFERENCES, "_r"))
+
+    def multiply(frames):
+        for pdf in frames:
+            for q, r in zip(pdf["_q"], pdf["_r"]):
+                a, b = (np.array([list(x["_v"]) for x in side], float) for side in (q, r))
+                ids, others = np.array([x[key] for x in q]), np.array([x[key] for x in r])
+                sims = np.einsum("ij,kj->ik", a, b) / np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1)))
+                sims = sims if digits is None else np.round(sims * 10**digits) / 10**digits
+                groups = np.array([x[by] for x in r]) if by else np.zeros(len(r), int)
+                for i, mine in enumerate(sims):
+                    order = np.lexsort((others, -mine, groups))
+                    order = order[others[order] != ids[i]]
+                    rank = np.arange(len(order)) - np.searchsorted(groups[order], groups[order])
+                    top = order[rank < k]
+                    yield pd.DataFrame({"id": ids[i], "other": others[top], "by": groups[top], "sim": mine[top]})
+
+    found = met.mapInPandas(multiply, "id long, other long, by long, sim double")
+    best = found.withColumn("_rank", F.row_number().over(Window.partitionBy("id", "by").orderBy(F.desc("sim"), "other"))).where(F.col("_rank") <= k)
+    return best.select(F.col("id").alias(key), "other", *(["by"] if by else []), "sim")
+
+
+def vote(near: DataFrame, key: str) -> DataFrame:
+    """near(key, sim, worth) -> (key, score): the references' worth, weighted by (sim + 1) / 2, at least 0.01."""
     weight = F.greatest(F.lit(0.01), (F.col("sim") + 1) / 2)
     return near.groupBy(key).agg((F.sum(weight * F.col("worth")) / F.sum(weight)).alias("score"))
 

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerlane.functions import drives, vehicles
-from offerlane.operators import relevance, repairs
+from offerlane.functions import drives, fit, money, sale, vehicles
+from offerlane.functions import text as text_functions
+from offerlane.operators import lookups, relevance, repairs
 
 
 def value(spark, column):
@@ -71,3 +72,55 @@ def test_codes(spark):
     assert part("BMW 51 16 7 204 283") and part("Spiegel 7204283") and not part("Spiegel 7204284")
     another = lambda t: value(spark, relevance.names_another_model(F.lit(t), "ib3740c31"))
     assert another("ICY BOX IB-287-C31") and not another("IB-3740-C") and not another("Crucial DDR4-3200") and not another("IB-3740-C31")
+
+
+@pytest.mark.parametrize("text, sold", [("leider schon verkauft", True), ("wurde reserviert.", True), ("500 verkauft, noch da", False), ("already sold", True), ("1.200+ sold", False), ("nicht mehr verfügbar", True), ("wird verkauft", False), ("is no longer available", True), ("der hund ist weggelaufen", False), ("", False)])
+def test_text_says_sold(spark, text, sold):
+    assert value(spark, sale.text_says_sold(F.lit(text))) is sold
+
+
+def test_sale_marks(spark):
+    assert [value(spark, sale.says_defective(F.lit(t))) for t in ("für bastler", "wird als defekt verkauft", "aus einem defekten laptop")] == [True, True, False]
+    assert [value(spark, sale.pickup_only(F.lit(t))) for t in ("nur selbstabholer", "nur an abholer", "kein versand", "keinen versand", "versand möglich")] == [True, True, True, True, False]
+    shipping = lambda free, pickup, cents, currency: value(spark, sale.shipping_eur(F.lit(free), F.lit(pickup), F.lit(cents).cast("long"), F.lit(currency)))
+    assert [shipping(True, False, 500, "EUR"), shipping(False, True, 500, "EUR"), shipping(False, False, 550, "EUR"), shipping(False, False, 550, "USD"), shipping(False, False, None, "EUR")] == [0, 0, 5.5, None, None]
+
+
+def test_shown_texts(spark):
+    assert value(spark, text_functions.shown_price(F.lit(123456789), F.lit("EUR"))) == "1.234.567,89 €"
+    assert value(spark, text_functions.shown_price(F.lit(5), F.lit("CHF"))) == "0,05 CHF"
+    assert [value(spark, fit.hours_label(F.lit(h))) for h in (0.7, 1.0, 6.7)] == ["~45 min", "~1 h", "~7 h"]
+    assert [value(spark, text_functions.pack_gb(F.lit(t))) for t in ("2x16GB RAM", "1x 4TB", "4 x 1 TB und 2x8gb", "16 GB")] == [32, 0, 4000, 0]
+    assert value(spark, text_functions.longest_name(F.lit("a Red Ring here"), ["ring", "red ring", "bolt"])) == "red ring"
+    message = text_functions.fill(F.lit("{a} and {b}"), {"a": F.lit("x")})
+    assert value(spark, message) == "x and {b}" and value(spark, text_functions.has_open_place(message))
+
+
+def test_fit_parts(spark):
+    parts = fit.weighed([("a", F.lit(1.0), 0.3), ("b", F.lit(None), 0.1)])
+    assert value(spark, fit.score(parts)) == pytest.approx((0.3 + 0.45 * 0.1) / 0.4)
+    assert [value(spark, fit.size_wish(F.lit(n).cast("int"), (2, 3), (1, 5))) for n in (2, 5, 9, None)] == [1.0, 0.6, 0.1, 0.35]
+    assert value(spark, fit.charging_cent(F.lit(90), F.lit(40))) == pytest.approx(0.9 * (0.4 * 8 + 0.6 * 37.3) + 0.1 * 56)
+
+
+def test_conditions(spark):
+    cases = {
+        "Neu": "NEW", "brand new": "NEW", "Nuovo (altro)": "NEW", "Neuf (autre)": "NEW", "wie neu": "LIKE_NEW", "Ausstellungsstück": "LIKE_NEW", "Als nieuw": "LIKE_NEW", "Gebraucht": "USED", "gebraucht, gut": "GOOD", "Usato": "USED",
+        "Pre-owned": "USED", "very good": "VERY_GOOD", "Sehr gut": "VERY_GOOD", "In nette staat": "GOOD", "acceptable": "ACCEPTABLE", "refurbished by maker": "REFURBISHED", "Reconditionné": "REFURBISHED", "Defekt, für Ersatzteile": "PARTS_ONLY",
+        "Per ricambi o non funzionante": "PARTS_ONLY", "Pour pièces détachées": "PARTS_ONLY", "Para piezas o no funciona": "PARTS_ONLY", "unknown": None, "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "label string").select("label", text_functions.condition_of(F.col("label")).alias("c")).collect()
+    assert {r["label"]: r["c"] for r in rows} == cases
+
+
+def test_currencies(spark):
+    cases = {"1 €": "EUR", "EUR 3": "EUR", "$5": "USD", "CHF 12 (ca. 11 €)": "EUR", "£3": "GBP", "5 zł": "PLN", "12 Kč": "CZK", "49 DKK": "DKK", "3": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", money.currency_in(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == cases
+
+
+def test_as_of_takes_the_last_state(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c"), (1, 3, "d")], "k int, t int, name string")
+    states = spark.createDataFrame([(1, 2, 20), (1, 3, 30), (1, 8, 80), (2, 10, 0)], "k int, at int, v int")
+    got = {(r["name"], r["v"], r["at"]) for r in lookups.as_of(rows, states, ["k"], "t", "at").collect()}
+    assert got == {("a", 30, 3), ("b", None, None), ("c", None, None), ("d", 30, 3)}
