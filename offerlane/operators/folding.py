@@ -40,11 +40,15 @@ def fold_nodes(nodes: list[tuple[str, tuple]]) -> list[str]:
     """For each (name, facts), in order, the name of the group's first member."""
     groups: list[list[int]] = []
     at: dict[int, int] = {}
+    placed: dict = {}
     for i, (_, facts) in enumerate(nodes):
         own = len(groups)
         groups.append([i])
         at[i] = own
-        for j in range(i):
+        # stated places that differ are apart, so only rows of this place, or of none, are looked at
+        here = range(i) if facts[0] is None else sorted(placed.get(facts[0], []) + placed.get(None, []))
+        placed.setdefault(facts[0], []).append(i)
+        for j in here:
             a, b = at[j], at[i]
             if a != b and not apart(nodes[j][1], facts) and not any(apart(nodes[x][1], nodes[y][1]) for x in groups[a] for y in groups[b]):
                 for y in groups[b]:

@@ -47,23 +47,27 @@ def relevance_reason(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
     """df with relevance and drop_reason (null: it stays); every row stays in the table. The price rule looks at the
     upper median of each answer (keys)."""
     middle = upper_median(df.where(F.col("price_cents").between(0, SANE_CENTS)), "price_cents", keys, "_middle").drop("n")
-    # titles are read once: what is made of them are columns of their own
-    rows = df.withColumn("_words", text.tokens(F.col("title"))).withColumn("_sizes", text.sizes_gb(F.col("title")))
-    rows = rows.withColumn("relevance", token_score(F.col("_words"), F.col("_sizes"), query.words)).join(middle, keys, "left")
+    # what hangs on the title alone is worked out once for each distinct title
+    titles = df.select("title").distinct().select("title", text.tokens(F.col("title")).alias("_words"), text.sizes_gb(F.col("title")).alias("_sizes"))
     words = F.col("_words")
     asks = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws))) & F.lit(not set(ws) & set(query.words.lower().split()))
+    of_title = (
+        F.when(asks(WANTED), "wanted ad")
+        .when(asks(RENTAL), "rental")
+        .when(accessory_for(F.col("title"), query.words), "accessory")
+        .when(text.says_blocked(words, query.blocked) if query.blocked else F.lit(False), "blocked word")
+    )
+    titles = titles.select("title", token_score(words, F.col("_sizes"), query.words).alias("relevance"), of_title.alias("_of_title"))
+    rows = df.join(titles, "title", "left").join(middle, keys, "left")
     several = F.lit(len(set(query.words.split())) > 1)
     reason = (
         F.when(~F.col("price_cents").between(0, SANE_CENTS), "price")
         .when(F.col("price_cents").between(1, TOKEN_PRICE_CENTS) & (F.col("_middle") >= TOKEN_MEDIAN_CENTS), "token price")
-        .when(asks(WANTED), "wanted ad")
-        .when(asks(RENTAL), "rental")
-        .when(accessory_for(F.col("title"), query.words), "accessory")
-        .when(text.says_blocked(words, query.blocked) if query.blocked else F.lit(False), "blocked word")
+        .when(F.col("_of_title").isNotNull(), F.col("_of_title"))
         .when(several & (F.col("relevance") < SCORE_FLOOR), "off target")
         .when(~several & (F.col("relevance") <= 0), "off target")
     )
-    return rows.withColumn("drop_reason", reason).drop("_middle", "_words", "_sizes")
+    return rows.withColumn("drop_reason", reason).drop("_middle", "_of_title")
 
 
 #: A model code of joined parts or one long word, and specifications written the same way.

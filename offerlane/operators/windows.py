@@ -33,9 +33,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], name: str, what: C
 
 
 def rolling_count(df: DataFrame, keys: list[str], at: str, seconds: int, name: str = "n") -> DataFrame:
-    """How many of the key's rows lie within the seconds up to each row."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)))
+    """How many of the key's rows lie within the seconds up to each row. Rows are dealt by key and time bucket, each into
+    its own and the next bucket, so a key with many rows is many groups."""
+    micros, span = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    bucket = F.floor(micros / span)
+    dealt = df.select("*", micros.alias("_t"), F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))).alias("_in"))
+    w = Window.partitionBy(*keys, "_in.b").orderBy("_t").rangeBetween(-span, 0)
+    return dealt.withColumn(name, F.count(F.lit(1)).over(w)).where("_in.own").drop("_t", "_in")
 
 
 def sessions(df: DataFrame, keys: list[str], at: str, gap_seconds: int) -> DataFrame:

@@ -72,10 +72,12 @@ def due_searches(spark, sf_dir):
 @query(f"""{_OBS}, n AS (SELECT search, event_id, seen, price_cents, row_number() OVER (PARTITION BY search ORDER BY seen, event_id) AS seq, count(*) OVER (PARTITION BY search) AS n FROM observations)
 SELECT search, event_id, price_cents, CAST(seq AS INTEGER) AS seq FROM n WHERE seq > n - 200 AND seq > 100""")
 def feed_after(spark, sf_dir):
-    """A search's newest 200 entries after the one that was read last."""
-    w = Window.partitionBy("search")
-    n = observations(spark, sf_dir).withColumn("seq", F.row_number().over(w.orderBy("seen", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return n.where("seq > n - 200 and seq > 100").select("search", "event_id", "price_cents", "seq")
+    """A search's newest 200 entries after the one that was read last: those are found first, and numbered from the end."""
+    o = observations(spark, sf_dir).select("search", "event_id", "price_cents", "seen")
+    order = [F.desc("seen"), F.desc("event_id")]
+    newest = windows.first_per_key(o, ["search"], order, 200).withColumn("back", F.row_number().over(Window.partitionBy("search").orderBy(*order)))
+    sizes = o.groupBy("search").agg(F.count(F.lit(1)).alias("n"))
+    return newest.join(sizes, "search").withColumn("seq", (F.col("n") - F.col("back") + 1).cast("int")).where("seq > 100").select("search", "event_id", "price_cents", "seq")
 
 
 @query("""WITH b AS (SELECT user_id, max(ts) AS blocked_at FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT e.event_id, b.blocked_at IS NOT NULL AND e.ts >= b.blocked_at AND e.ts < b.blocked_at + INTERVAL 20 MINUTES AS cooling FROM events e LEFT JOIN b USING (user_id)""")

@@ -112,11 +112,13 @@ def tracked_first_last(spark, sf_dir):
 @query("""WITH p AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'view'), o AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase')
 SELECT p.event_id, count(o.event_id) AS outcomes, min(o.ts) AS first_outcome FROM p LEFT JOIN o ON o.user_id = p.user_id AND o.ts > p.ts AND o.ts <= p.ts + INTERVAL 1 DAY GROUP BY p.event_id""")
 def delayed_outcomes(spark, sf_dir):
-    """Predictions (views) and what followed them within a day (purchases): an equi join with a time range."""
-    e = table(spark, sf_dir, "events")
-    p = e.where("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("seen"))
-    o = e.where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("ts").alias("bought"))
-    pairs = p.join(o, (F.col("user_id") == F.col("buyer")) & (F.col("bought") > F.col("seen")) & (F.col("bought") <= F.col("seen") + F.expr("interval 1 day")), "left")
+    """Predictions (views) and what followed them within a day (purchases): an equi join by user and day, with a time
+    range; an outcome stands under its own day and the day before."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.datediff("ts", F.lit("2000-01-01")))
+    p = e.where("event_type = 'view'").select("event_id", "user_id", "day", F.col("ts").alias("seen"))
+    o = e.where("event_type = 'purchase'").select("user_id", F.explode(F.array("day", F.col("day") - 1)).alias("day"), F.col("ts").alias("bought"))
+    followed = (F.col("bought") > F.col("seen")) & (F.col("bought") <= F.col("seen") + F.expr("interval 1 day"))
+    pairs = p.alias("p").join(o.alias("o"), (F.col("p.user_id") == F.col("o.user_id")) & (F.col("p.day") == F.col("o.day")) & followed, "left")
     return pairs.groupBy("event_id").agg(F.count("bought").alias("outcomes"), F.min("bought").alias("first_outcome"))
 
 
