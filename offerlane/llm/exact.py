@@ -7,7 +7,7 @@ result doesn't depend on them.
 
 Exact buckets are keyed by SHA-256, and all texts of a bucket with more than one row are then compared byte by byte: by
 the bucket's least and greatest text, of which every task sends one pair, so a hot group is never gathered. Texts that
-are alone are neither compared nor shuffled. Should two texts of a bucket ever differ, the job stops with an error.
+are alone are neither compared nor shuffled. Should two texts of a bucket ever differ, the bucket is split by its texts.
 """
 
 from __future__ import annotations
@@ -16,18 +16,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import checkpointed, one_row, ship
+from offerlane.llm.common import checkpointed, look_up, one_row, ship
 from offerlane.llm.fuse import FuseFilter
 
 #: Digests in a shard: what one task builds a filter of, or screens, at a time.
 SHARD = 65_536
-#: Digests of shared texts that are broadcast to find their rows (32 bytes each); more are joined.
+#: Digests of shared texts that are broadcast to find their rows (32 bytes each); of more, only the hot ones are, and the
+#: rows of the others are shuffled.
 BROADCAST_DIGESTS = 1_000_000
-#: Parts that the rows of a digest are dealt into where they are joined.
-SALT = 64
 
 
 @dataclass(frozen=True)
@@ -47,8 +46,11 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sha, rank) of every row. rank orders equal texts: most code points first, then the smallest id, null ids
     last."""
-    rank = F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-    return _normalised(docs, id_col, text_col).select("doc_id", "sha", rank.alias("rank"))
+    return _normalised(docs, id_col, text_col).select("doc_id", "sha", _rank().alias("rank"))
+
+
+def _rank() -> Column:
+    return F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -56,17 +58,14 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sha").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
 
 
-def check_bytes(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_DIGESTS) -> None:
-    """Compare all texts of each bucket in groups(sha, n) that has more than one row; an error if two differ."""
-    shared = checkpointed(groups.where("n > 1").select("sha"))
-    texts = _normalised(docs, id_col, text_col).select("sha", "norm", F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALT)).alias("salt"))
-    if shared.count() <= most:
-        texts = texts.join(F.broadcast(shared), "sha", "left_semi")
-    else:
-        texts = texts.join(shared.select("sha", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")), ["sha", "salt"], "left_semi")
+def differing(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_DIGESTS) -> DataFrame:
+    """(sha) of the buckets in groups(sha, n) whose texts, all compared byte by byte, aren't all the same."""
+    shared = checkpointed(groups.where("n > 1").select("sha", "n"))
+    texts = _normalised(docs, id_col, text_col).select("sha", "norm")
+    total = shared.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    texts = texts.join(F.broadcast(shared.select("sha")), "sha", "left_semi") if total["digests"] <= most else look_up(texts, shared, "sha", total["rows"])
     ends = texts.groupBy("sha").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
-    if ends.where("least <> greatest").limit(1).count():
-        raise RuntimeError("texts of one SHA-256 differ")
+    return checkpointed(ends.where("least <> greatest").select("sha"))
 
 
 def _shard(shards: int):
@@ -113,13 +112,13 @@ def merge(batch_rows: DataFrame, snapshot: Snapshot) -> DataFrame:
     return merged.unionByName(new)
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """digests() of docs, and (sha, best, n) of each digest, compared byte by byte."""
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """digests() of docs, (sha, best, n) of each digest, and the digests whose texts differ, if there are any."""
     rows = checkpointed(digests(docs, id_col, text_col))
     old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     groups = checkpointed(merge(rows.where(~old), build_snapshot(rows.where(old))))
-    check_bytes(docs, groups, id_col, text_col)
-    return rows, groups
+    differ = differing(docs, groups, id_col, text_col)
+    return rows, groups, None if differ.isEmpty() else differ
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,19 +128,26 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points, then the smallest id stays. Rows that repeat both id and length of a kept row are marked kept too; rows with
     a null id stay only in a group that has no id. Empty tables give empty results; other columns aren't read.
     """
-    rows, groups = _decided(docs, id_col, text_col)
-    return (
-        rows.select("doc_id", "sha", "rank")
-        .join(groups, "sha")
-        .select("doc_id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rank") == F.col("best")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    )
+    rows, groups, differ = _decided(docs, id_col, text_col)
+    found = rows.select("doc_id", "sha", "rank").join(groups, "sha")
+    if differ is not None:
+        split = _normalised(docs, id_col, text_col).join(differ, "sha", "left_semi").select("doc_id", "sha", _rank().alias("rank"), "norm")
+        by_text = split.groupBy("sha", "norm").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
+        found = found.join(differ, "sha", "left_anti").unionByName(split.join(by_text, ["sha", "norm"]).drop("norm"))
+    return found.select("doc_id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rank") == F.col("best")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, and of each group of equal texts exactly one row: most code points, then the smallest
     id, null ids last. Rows without id, and rows that repeat an id, are kept and dropped like others."""
-    _, groups = _decided(docs, id_col, text_col)
+    _, groups, differ = _decided(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sha = F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256))
-    mark = F.struct(sha.alias("sha"), (-F.char_length(text).cast("long")).alias("points"), F.col(id_col).cast("long").alias("id"))
-    return one_row(docs, mark, groups.select(F.struct("sha", "best.points", "best.id").alias("mark"), "n"))
+    norm = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
+    sha, points = F.unhex(F.sha2(norm, 256)), (-F.char_length(text).cast("long")).alias("points")
+    mark = F.struct(sha.alias("sha"), points, F.col(id_col).cast("long").alias("id"))
+    if differ is None:
+        return one_row(docs, mark, groups.select(F.struct("sha", "best.points", "best.id").alias("mark"), "n"))
+    told = docs.select(F.struct(*docs.columns).alias("row"), sha.alias("sha"), norm.alias("norm"), F.struct(points, F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.struct(*docs.columns).alias("row")).alias("rank"))
+    split = told.join(differ, "sha", "left_semi").groupBy("sha", "norm").agg(F.min("rank").alias("first")).select("first.row.*")
+    kept = groups.join(differ, "sha", "left_anti").select(F.struct("sha", "best.points", "best.id").alias("mark"), "n")
+    return one_row(docs, mark, kept).unionByName(split)
