@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that Python code holds as words or arrays at a time.
@@ -37,13 +37,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local session (tests, one machine) gets one
+    of its own; on a cluster that would be another folder on each machine, so there it is an error."""
     sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if at is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="offerlane-shared-"))
-        at = sc.getCheckpointDir()
-    return at
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="offerlane-shared-"))
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -52,14 +54,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def look_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def look_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner", bytes_of: Column | None = None, most: int = 0) -> DataFrame:
     """rows and the other columns of found(key, n, ...), whose n is at least the number of rows under the key.
 
     total bounds the sum of n. Keys with more than total / HOT_KEYS rows (100 at least) are fewer than HOT_KEYS, so they
-    are broadcast and their rows stay where they lie; only the rows of other keys are shuffled. Rows whose key isn't in
-    found are dropped, or kept with nulls if how is "left".
+    are broadcast and their rows stay where they lie; only the rows of other keys are shuffled. Where found holds values
+    without a bound, bytes_of says how long they are: of the hot keys, only the hottest are then broadcast, as long as
+    they have `most` bytes together. Rows whose key isn't in found are dropped, or kept with nulls if how is "left".
     """
     over, values = max(100, total // HOT_KEYS), [c for c in found.columns if c != key]
+    if bytes_of is not None:
+        while (found.where(F.col("n") > over).agg(F.sum(bytes_of + 64).alias("b")).first()["b"] or 0) > most:
+            over *= 4
     hot = found.where(F.col("n") > over).select(key, F.struct(*values).alias("hot"))
     marked = rows.join(F.broadcast(hot), key, "left")
     here = marked.where("hot is not null").select(*rows.columns, *(F.col(f"hot.{c}").alias(c) for c in values))
