@@ -12,7 +12,7 @@ from offerlane.plans.registry import query
 from offerlane.sources.tables import LISTINGS_SQL, OBSERVATIONS_SQL, listings, observations, table
 
 _WITH, _OBS = f"WITH {LISTINGS_SQL}", f"WITH {OBSERVATIONS_SQL}"
-n_rows = F.count(F.lit(1))
+n_rows = lambda: F.count(F.lit(1))
 six = lambda c: F.round(c * 1e6) / 1e6
 _WORDS_SQL = "w AS (SELECT doc_id, lang, source, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS words FROM documents)"
 
@@ -30,7 +30,7 @@ SELECT facet, value, CAST(sum(n) AS BIGINT) AS n, count(*) AS sources FROM f GRO
 def facet_merge(spark, sf_dir):
     """The facets of all sources' answers as one: each source counts its own, then their counts are added up."""
     own = aggregates.facets(listings(spark, sf_dir), ["condition", "sale_type"], ["platform"])
-    return own.groupBy("facet", "value").agg(F.sum("n").alias("n"), n_rows.alias("sources"))
+    return own.groupBy("facet", "value").agg(F.sum("n").alias("n"), n_rows().alias("sources"))
 
 
 @query(f"""WITH {_WORDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM w), k AS (SELECT source, words FROM r WHERE rn <= 300), s AS (SELECT source, count(*) AS n FROM k GROUP BY source HAVING count(*) >= 5),
@@ -39,7 +39,7 @@ def model_word_evidence(spark, sf_dir):
     """Words that at least 0.6 of a source's newest 300 texts carry, where there are five of them."""
     newest = windows.first_per_key(_words(spark, sf_dir), ["source"], [F.desc("doc_id")], 300)
     share = aggregates.share_carrying(newest.withColumnRenamed("words", "_w"), F.col("_w"), ["source"])
-    enough = newest.groupBy("source").agg(n_rows.alias("n")).where("n >= 5").select("source")
+    enough = newest.groupBy("source").agg(n_rows().alias("n")).where("n >= 5").select("source")
     return share.join(F.broadcast(enough), "source").where("share >= 0.6").select("source", F.col("token").alias("word"), F.col("n_rows").alias("carrying"), six(F.col("share")).alias("share"))
 
 
@@ -50,7 +50,7 @@ def implied_words(spark, sf_dir):
     """Of the words asked for, those a text doesn't carry but its source's other texts imply: two at least, 0.6 of them."""
     asked = ["the", "der"]
     rows = _words(spark, sf_dir).select("doc_id", "source", *(F.array_contains("words", w).alias(w) for w in asked))
-    sums = rows.groupBy("source").agg(n_rows.alias("n"), *(F.count_if(w).alias(f"n_{w}") for w in asked))
+    sums = rows.groupBy("source").agg(n_rows().alias("n"), *(F.count_if(w).alias(f"n_{w}") for w in asked))
     said = F.explode(F.array(*(F.struct(F.lit(w).alias("word"), F.col(w).alias("carries"), F.col(f"n_{w}").alias("carriers")) for w in asked)))
     told = rows.join(F.broadcast(sums), "source").select("doc_id", "n", said.alias("s")).where("not s.carries")  # a row for each source
     return told.where((F.col("n") > 2) & (F.col("s.carriers") >= 2) & (F.col("s.carriers") / (F.col("n") - 1) >= 0.6)).select("doc_id", "s.word")
@@ -75,7 +75,7 @@ def suggested_terms(spark, sf_dir):
 @query(f"{_WITH}, c AS (SELECT part, power_kw, seller FROM listings), k AS (SELECT seller, power_kw, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seller ORDER BY n DESC, power_kw) AS rn FROM k) SELECT seller, power_kw, n FROM r WHERE rn = 1")
 def most_frequent(spark, sf_dir):
     """Each seller's most frequent power, the smallest of equally frequent ones: counted first, so only distinct values meet."""
-    counts = listings(spark, sf_dir).groupBy("seller", "power_kw").agg(n_rows.alias("n"))
+    counts = listings(spark, sf_dir).groupBy("seller", "power_kw").agg(n_rows().alias("n"))
     return windows.first_per_key(counts, ["seller"], [F.desc("n"), "power_kw"]).select("seller", "power_kw", "n")
 
 
@@ -93,7 +93,7 @@ def evaluation_report(spark, sf_dir):
     """Scores of each class: mean, upper median, and how many fall into each verdict."""
     r = _report(spark, sf_dir).withColumn("score6", six(F.col("score")))
     s = F.col("score")
-    g = r.groupBy("quality").agg(n_rows.alias("n"), six(F.avg("score")).alias("mean"), F.count_if(s >= 0.6).alias("told_good"), F.count_if((s < 0.6) & (s >= 0.3)).alias("unsure"), F.count_if(s < 0.3).alias("told_bad"))
+    g = r.groupBy("quality").agg(n_rows().alias("n"), six(F.avg("score")).alias("mean"), F.count_if(s >= 0.6).alias("told_good"), F.count_if((s < 0.6) & (s >= 0.3)).alias("unsure"), F.count_if(s < 0.3).alias("told_bad"))
     return g.join(aggregates.upper_median(r, "score6", ["quality"], "middle").drop("n"), "quality").select("quality", "n", "mean", "middle", "told_good", "unsure", "told_bad")
 
 
@@ -115,7 +115,7 @@ def weight_configs(spark, sf_dir):
 @query(f"{_WITH} SELECT buyer, min(country) AS country, max(mileage_km) AS most_km, min(first_year) AS first_year, max(first_year) AS last_year, count(*) AS n FROM listings GROUP BY buyer")
 def entity_rollup(spark, sf_dir):
     """One row for each entity from all that was seen of it."""
-    return listings(spark, sf_dir).groupBy("buyer").agg(F.min("country").alias("country"), F.max("mileage_km").alias("most_km"), F.min("first_year").alias("first_year"), F.max("first_year").alias("last_year"), n_rows.alias("n"))
+    return listings(spark, sf_dir).groupBy("buyer").agg(F.min("country").alias("country"), F.max("mileage_km").alias("most_km"), F.min("first_year").alias("first_year"), F.max("first_year").alias("last_year"), n_rows().alias("n"))
 
 
 @query(f"""{_WITH}, b AS (SELECT condition AS family, CAST(floor(mileage_km / 20000) AS BIGINT) AS bin, count(*) AS exposed, count(*) FILTER (sold) AS ended FROM listings WHERE mileage_km IS NOT NULL AND condition IS NOT NULL GROUP BY ALL),
@@ -124,7 +124,7 @@ SELECT family, bin, exposed, ended, CASE WHEN size >= 300 THEN round(ended / exp
 def family_hazard(spark, sf_dir):
     """The share that ends in each bin: a family's own where it has 300 rows, else the whole fleet's."""
     rows = listings(spark, sf_dir).where("mileage_km is not null and condition is not null").select(F.col("condition").alias("family"), F.floor(F.col("mileage_km") / 20000).alias("bin"), "sold")
-    own = rows.groupBy("family", "bin").agg(n_rows.alias("exposed"), F.count_if("sold").alias("ended"))
+    own = rows.groupBy("family", "bin").agg(n_rows().alias("exposed"), F.count_if("sold").alias("ended"))
     fleet = own.groupBy("bin").agg((F.sum("ended") / F.sum("exposed")).alias("fleet"))
     size = own.groupBy("family").agg(F.sum("exposed").alias("size"))
     both = own.join(fleet, "bin").join(size, "family")
@@ -136,13 +136,13 @@ def family_hazard(spark, sf_dir):
 def source_health(spark, sf_dir):
     """Requests, blocks and their share for each source, and when each was last."""
     blocked = F.col("value") > 20
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(n_rows.alias("requests"), F.count_if(blocked).alias("blocks"), F.max("ts").alias("last_seen"), F.max(F.when(blocked, F.col("ts"))).alias("last_block"))
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(n_rows().alias("requests"), F.count_if(blocked).alias("blocks"), F.max("ts").alias("last_seen"), F.max(F.when(blocked, F.col("ts"))).alias("last_block"))
     return g.withColumn("block_rate", six(F.col("blocks") / F.col("requests")))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (quality = 1) AS liked, count(*) FILTER (quality = 0) AS disliked, count(*) FILTER (toxic = 1) AS refused, count(DISTINCT doc_id) AS documents FROM labels")
 def feedback_stats(spark, sf_dir):
-    return table(spark, sf_dir, "labels").agg(n_rows.alias("n"), F.count_if(F.col("quality") == 1).alias("liked"), F.count_if(F.col("quality") == 0).alias("disliked"), F.count_if(F.col("toxic") == 1).alias("refused"), F.count_distinct("doc_id").alias("documents"))
+    return table(spark, sf_dir, "labels").agg(n_rows().alias("n"), F.count_if(F.col("quality") == 1).alias("liked"), F.count_if(F.col("quality") == 0).alias("disliked"), F.count_if(F.col("toxic") == 1).alias("refused"), F.count_distinct("doc_id").alias("documents"))
 
 
 @query(f"""{_WITH}, u AS (SELECT part, ({_EUR_SQL}) AS cents FROM listings WHERE condition = 'NEW' AND NOT sold UNION ALL SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) FROM part) SELECT part, min(cents) AS cents FROM u GROUP BY part""")
@@ -222,7 +222,7 @@ def off_query_last(spark, sf_dir):
 SELECT platform, title, n, CAST(of AS BIGINT) AS of, of >= 5 AND n >= 5 AND n / of >= 0.5 AND NOT contains(title, 'ring') AS misread FROM s WHERE rn = 1""")
 def repeated_title(spark, sf_dir):
     """Each source's most frequent title, and whether it tells of a reader gone wrong: five rows, half of all, off the query."""
-    counts = listings(spark, sf_dir).groupBy("platform", F.trim(F.lower("title")).alias("title")).agg(n_rows.alias("n"))
+    counts = listings(spark, sf_dir).groupBy("platform", F.trim(F.lower("title")).alias("title")).agg(n_rows().alias("n"))
     top = windows.first_per_key(counts, ["platform"], [F.desc("n"), "title"]).join(counts.groupBy("platform").agg(F.sum("n").alias("of")), "platform")
     wrong = (F.col("of") >= 5) & (F.col("n") >= 5) & (F.col("n") / F.col("of") >= 0.5) & ~F.contains("title", F.lit("ring"))
     return top.select("platform", "title", "n", "of", wrong.alias("misread"))
@@ -316,7 +316,7 @@ def batches_of_fifty(spark, sf_dir):
     """Rows of a source in calls of fifty, in order."""
     rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(rn / 50).alias("batch"))
-    return rows.groupBy("source", "batch").agg(n_rows.alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return rows.groupBy("source", "batch").agg(n_rows().alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
 @query(f"""{_OBS}, s AS (SELECT offer, search, max(price_cents) AS score FROM observations GROUP BY ALL), t AS (SELECT DISTINCT offer FROM observations WHERE search = 'signup') SELECT search, offer, score FROM s WHERE score >= 3000 AND offer NOT IN (SELECT offer FROM t) OR score >= 3000 AND search = 'signup' ORDER BY score DESC, offer, search LIMIT 100""")

@@ -12,7 +12,7 @@ from offerlane.plans.registry import query
 from offerlane.sources.tables import LISTINGS_SQL, OBSERVATIONS_SQL, listings, observations, table
 
 _WITH, _OBS = f"WITH {LISTINGS_SQL}", f"WITH {OBSERVATIONS_SQL}"
-n_rows = F.count(F.lit(1))
+n_rows = lambda: F.count(F.lit(1))
 six = lambda c: F.round(c * 1e6) / 1e6
 
 
@@ -83,14 +83,14 @@ SELECT p.page_id, k.products - 1 AS others FROM p JOIN k USING (site)""")
 def basket_candidates(spark, sf_dir):
     """How many other products the same shop offers, each address once: counted by shop, without pairs."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1).alias("site"), F.regexp_replace("url", "[?#].*$", "").alias("product"))
-    shops = p.select("site", "product").distinct().groupBy("site").agg((n_rows - 1).alias("others"))
+    shops = p.select("site", "product").distinct().groupBy("site").agg((n_rows() - 1).alias("others"))
     return p.join(shops, "site").select("page_id", "others")
 
 
 @query(f"""{_WITH}, j AS (SELECT doc_id, count(*) AS judged, max(quality) AS best FROM labels GROUP BY doc_id) SELECT doc_id, coalesce(judged, 0) AS judged, best FROM documents LEFT JOIN j USING (doc_id)""")
 def judged_attached(spark, sf_dir):
     """What a judge said of each row, where it said anything."""
-    j = table(spark, sf_dir, "labels").groupBy("doc_id").agg(n_rows.alias("judged"), F.max("quality").alias("best"))
+    j = table(spark, sf_dir, "labels").groupBy("doc_id").agg(n_rows().alias("judged"), F.max("quality").alias("best"))
     return table(spark, sf_dir, "documents").select("doc_id").join(j, "doc_id", "left").select("doc_id", F.coalesce("judged", F.lit(0)).alias("judged"), "best")
 
 
