@@ -2,11 +2,13 @@
 
 Texts are split into pre-tokens. The distinct pre-tokens of a batch lie in one ragged array of symbols; in every round
 each sequence merges all places of its lowest-ranked pair at once, until no sequence has a pair of the vocabulary left.
-The symbols that survive are the tokens.
+The symbols that survive are the tokens. Long sequences (runs without a blank) take their ranks in the same order, but a
+round touches only the places that have the rank.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -23,6 +25,8 @@ from offerlane.llm.common import chunks, ship, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens whose ids a Python worker keeps between batches; beyond, it forgets all and goes on.
 KEPT = 200_000
+#: Bytes of a pre-token beyond which it is merged rank by rank, as a round over all its symbols for each is slow.
+LONG = 128
 _SLOTS = 1 << 19
 #: Fixed value: how the vocabulary's byte-level pre-tokenizer splits.
 _SPLIT = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -67,7 +71,7 @@ class Merger:
         self.first = np.array([vocab[c] for c in _byte_characters()], np.int64)
         pairs = np.array([(vocab[a] << 32) | vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.made = np.append(made, 0)
+        self.made, self.none = np.append(made, 0), len(made)
         self._index(pairs)
         self.split, self.split_latin = regex.compile(_SPLIT).findall, re.compile(_SPLIT_LATIN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -85,13 +89,11 @@ class Merger:
             self.table[at], self.rank_at[at] = pair, rank
             self.reach = max(self.reach, at - slot + 1)
 
-    def _ranks(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The rank of the pair that starts at each symbol; a rank beyond all for none and for each sequence's last."""
-        none = len(self.made) - 1
-        pair = (symbols[:-1] << 32) | symbols[1:]
+    def _pair_ranks(self, pair: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or a rank beyond all."""
         at = _slot(pair)
         held = self.table[at]
-        rank = np.append(np.where(held == pair, self.rank_at[at], none), none)
+        rank = np.where(held == pair, self.rank_at[at], self.none)
         open_ = np.flatnonzero((held != pair) & (held >= 0))
         for step in range(1, self.reach):
             if not len(open_):
@@ -101,15 +103,86 @@ class Merger:
             same = held == pair[open_]
             rank[open_[same]] = self.rank_at[there[same]]
             open_ = open_[~same & (held >= 0)]
-        rank[ends - 1] = none
+        return rank
+
+    def _ranks(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The rank of the pair that starts at each symbol; a rank beyond all for none and for each sequence's last."""
+        rank = np.append(self._pair_ranks((symbols[:-1] << 32) | symbols[1:]), self.none)
+        rank[ends - 1] = self.none
         return rank
 
     def merge(self, tokens: list[bytes]) -> list[bytes]:
         """The ids of each pre-token (none is empty), as little-endian unsigned 32-bit numbers."""
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if not long:
+            return self._merge_short(tokens)
+        short = [i for i, t in enumerate(tokens) if len(t) <= LONG]
+        out: list = [b""] * len(tokens)
+        for some, found in ((short, self._merge_short([tokens[i] for i in short]) if short else []), (long, self._merge_long([tokens[i] for i in long]))):
+            for i, ids in zip(some, found):
+                out[i] = ids
+        return out
+
+    def _merge_long(self, tokens: list[bytes]) -> list[bytes]:
+        """The same for long pre-tokens. The lowest rank of all sequences is the lowest of each that has it, so ranks are
+        taken one after the other, and only the places that have the rank, and their neighbours, are touched."""
+        ends = np.cumsum([len(t) for t in tokens])
+        symbols, n, none = self.first[np.frombuffer(b"".join(tokens), np.uint8)], int(ends[-1]), self.none
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        after[ends - 1] = n  # n stands for no place
+        before[np.append(0, ends[:-1])] = n
+        rank = np.append(self._ranks(symbols, ends), none)
+        held: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            places = places[rank[places] < none]
+            if not len(places):
+                return
+            places = places[np.argsort(rank[places], kind="stable")]
+            mine = rank[places]
+            cuts = np.flatnonzero(mine[1:] != mine[:-1]) + 1
+            for r, some in zip(mine[np.append(0, cuts)].tolist(), np.split(places, cuts)):
+                if r not in held:
+                    held[r] = []
+                    heapq.heappush(queue, r)
+                held[r].append(some)
+
+        put(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            some = held.pop(r)
+            at = np.unique(np.concatenate(some)) if len(some) > 1 else some[0]
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of places that follow each other (a pair of equal symbols), each run's first, third, ... are merged
+            follows = np.append(False, after[at[:-1]] == at[1:])
+            if follows.any():
+                index = np.arange(len(at))
+                at = at[(index - np.maximum.accumulate(np.where(follows, 0, index))) % 2 == 0]
+            gone = after[at]
+            then = after[gone]
+            symbols[at], rank[gone], after[at] = self.made[r], none, then
+            inside = then < n
+            before[then[inside]] = at[inside]
+            ahead = before[at]
+            near = np.unique(np.concatenate((at, ahead[ahead < n])))
+            rank[near] = none
+            near = near[after[near] < n]
+            rank[near] = self._pair_ranks((symbols[near] << 32) | symbols[after[near]])
+            put(near)
+            symbols[gone] = -1
+        kept = symbols >= 0
+        sizes = np.add.reduceat(kept, np.append(0, ends[:-1]), dtype=np.int64)
+        ids, edges = symbols[kept].astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [ids[x:y] for x, y in zip([0, *edges], edges)]
+
+    def _merge_short(self, tokens: list[bytes]) -> list[bytes]:
         sizes = np.array([len(t) for t in tokens], np.int64)
         symbols = self.first[np.frombuffer(b"".join(tokens), np.uint8)]
         out: list = [None] * len(tokens)
-        own, none = np.arange(len(tokens)), len(self.made) - 1
+        own, none = np.arange(len(tokens)), self.none
         while len(own):
             ends = np.cumsum(sizes)
             starts = ends - sizes
