@@ -135,3 +135,75 @@ def test_texts(spark):
     assert one(spark, text.sizes_gb(F.lit("2TB or 500 gb or 2 tb"))) == [500, 2000]
     assert one(spark, text.says_blocked(text.tokens(F.lit("a play mobil set")), ["playmobil"]))
     assert not one(spark, text.says_blocked(text.tokens(F.lit("")), ["x"]))
+
+
+def test_search_asks_each_market_and_refuses_unknown_ones(spark):
+    import pytest
+
+    from offerlane.sources import markets
+
+    asked = markets.Question("ring", 1000, 9000)
+    got = markets.search(spark, "/root/testdata/sf0.001", ["EUROPE", "ASIA"], asked)
+    rows = got.collect()
+    assert rows and all(100_000 <= r["cents"] <= 900_000 and "ring" in r["title"].lower() and not r["sold"] for r in rows)
+    assert {r["platform"] for r in rows} <= {"EUROPE", "ASIA"}
+    with pytest.raises(KeyError):
+        markets.search(spark, "/root/testdata/sf0.001", ["NOWHERE"], asked)
+
+
+def test_archives_and_csv_are_read(spark, tmp_path):
+    from offerlane.sources import markets
+
+    for i in range(3):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"{i}.json").write_text('{\n "id": %d,\n "name": "n%d"\n}' % (i, i))
+    assert {(r["id"], r["name"]) for r in markets.read_archive(spark, str(tmp_path / "a"), "id int, name string").collect()} == {(i, f"n{i}") for i in range(3)}
+    (tmp_path / "t.csv").write_text("low,fails\n0,1\nx,2\n2000,3\n")
+    assert [tuple(r) for r in markets.read_csv(spark, str(tmp_path / "t.csv"), "low int, fails int").collect()] == [(0, 1), (2000, 3)]
+    for n in (2, 5):
+        markets.replace_store(spark.range(n), str(tmp_path / "s"))
+        assert spark.read.json(str(tmp_path / "s")).count() == n
+
+
+def test_registry_activates_the_model_that_is_right_held_out(spark):
+    from pyspark.sql import functions as F
+
+    from offerlane.operators import registry
+
+    rows = spark.createDataFrame([(i, 100 * (i % 2) + i % 3, i % 2) for i in range(40)], "id long, n_chars long, good int")
+    got = registry.scored_by_all(rows, [registry.Length(3000), registry.LearnedBar()], "good", F.col("id") % 5 == 0).collect()
+    assert len(got) == 80 and {r["model"] for r in got if r["active"]} == {"learned bar"}
+
+
+def test_nearest_in_blocks_is_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from offerlane.operators import scoring
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], i % 3) for i in range(60)], "id long, v array<double>, label int")
+    monkeypatch.setattr(scoring, "QUERIES", 4)
+    monkeypatch.setattr(scoring, "REFERENCES", 7)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    got = {(r["id"], r["other"]) for r in scoring.nearest(df.where("id % 5 = 0"), df, "id", "v", 3).collect()}
+    want = {(i, j) for i in range(0, 60, 5) for j in sorted((j for j in range(60) if j != i), key=lambda j: (-sims[i, j], j))[:3]}
+    assert got == want
+    by = {(r["id"], r["by"], r["other"]) for r in scoring.nearest(df.where("id % 5 = 0"), df, "id", "v", 1, by="label").collect()}
+    assert by == {(i, c, min((j for j in range(60) if j != i and j % 3 == c), key=lambda j: (-sims[i, j], j))) for i in range(0, 60, 5) for c in range(3)}
+
+
+def test_prints_of_copies_are_one_row(spark):
+    from pyspark.sql import functions as F
+
+    from offerlane.operators import joins
+
+    p = 0x0F0F0F0F0F0F0F0F
+    rows = [(i, p) for i in range(300)] + [(1000, p ^ 0b101), (1001, p ^ 0xFFFF), (1002, 3)]
+    df = spark.createDataFrame(rows, "id long, p long")
+    assert [tuple(r) for r in joins.hamming_pairs(df, "id", "p").collect()] == [(0, 1000, 2)]
+    members = {r["id"]: (r["first_id"], r["copies"]) for r in joins.print_members(df, "id", "p").collect()}
+    assert members[299] == (0, 300) and members[1000] == (1000, 1) and 1002 not in members
+    hashes = spark.createDataFrame([(1, [0b111, 0b110, 0b010])], "id long, h array<long>")
+    assert joins.majority_print(hashes, "id", "h", 4).select(F.col("p")).first()["p"] == 0b110

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerlane.functions import drives, fit, money, sale, vehicles
+from offerlane.functions import drives, fit, money, sale, terms, vehicles
 from offerlane.functions import text as text_functions
 from offerlane.operators import lookups, relevance, repairs
 
@@ -124,3 +124,15 @@ def test_as_of_takes_the_last_state(spark):
     states = spark.createDataFrame([(1, 2, 20), (1, 3, 30), (1, 8, 80), (2, 10, 0)], "k int, at int, v int")
     got = {(r["name"], r["v"], r["at"]) for r in lookups.as_of(rows, states, ["k"], "t", "at").collect()}
     assert got == {("a", 30, 3), ("b", None, None), ("c", None, None), ("d", 30, 3)}
+
+
+def test_normalised_words(spark):
+    cases = {"Apple i-Phone 15 ProMax, 256 Gigabyte": "apple iphone 15 promax 256 gb", "RTX 3060Ti Größe 2 TeraByte!": "rtx 3060 ti groesse 2 tb", "Café 7,9 Zoll S23+": "cafe 7p9 zoll s23 plus", "i pad 500 Go": "ipad 500 gb", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", terms.normalise(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == cases
+
+
+def test_vetoes(spark):
+    said = lambda f, t, q: value(spark, f(terms.normalise(F.lit(t)), q))
+    assert said(terms.is_consumable, "Staubbeutel für Kärcher", "kärcher") and not said(terms.is_consumable, "Kärcher mit Staubbeutel", "kärcher") and not said(terms.is_consumable, "Staubbeutel", "staubbeutel")
+    assert said(terms.is_built_in, "Dell Laptop mit Samsung SSD", "ssd") and not said(terms.is_built_in, "SSD für Laptop", "ssd") and not said(terms.is_built_in, "Laptop mit SSD", "laptop ssd")
