@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from offerlane.functions import terms
+from offerlane.functions import health, terms, vans
 from offerlane.operators import registry as models
 from offerlane.operators import scoring
 from offerlane.plans.offers import _EUR_SQL
@@ -169,3 +169,39 @@ def model_registry(spark, sf_dir):
     """All models are trained and score all rows; the one that is best on held-out rows is active."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     return models.scored_by_all(rows, [models.Length(3000), models.LearnedBar()], "quality", F.col("doc_id") % 5 == 0).select("model", "doc_id", six(F.col("score")).alias("score"), "active")
+
+
+# vans and drives
+
+_VAN_TEXTS_SQL = "v AS (SELECT p_partkey AS part, concat('Crafter ', CASE WHEN p_size % 3 <> 0 THEN concat('L', p_size % 5 + 1, CASE WHEN p_size % 2 = 0 THEN concat('H', p_size % 4 + 1) ELSE '' END, ' ') ELSE '' END, CASE p_type WHEN 'LARGE' THEN 'Hochdach, lang' WHEN 'SMALL' THEN 'Flachdach kurz' WHEN 'MEDIUM' THEN 'mittellang' WHEN 'PROMO' THEN 'Maxi; Superhochdach' ELSE p_name END) AS t FROM part)"
+
+
+@query(f"""WITH {_VAN_TEXTS_SQL}, c AS (SELECT part, t, nullif(regexp_extract(t, '[ ]L([1-5])', 1), '') AS l, nullif(regexp_extract(t, '[0-9]H([1-4])', 1), '') AS h FROM v), n AS (SELECT part, t, CASE WHEN l IS NULL THEN [1, 2, 3, 4, 5] ELSE [CAST(l AS INTEGER)] END AS lx, CASE WHEN h IS NULL THEN [1, 2, 3, 4] ELSE [CAST(h AS INTEGER)] END AS hx FROM c),
+s AS (SELECT part, lx, hx, CASE WHEN contains(t, 'kurz') THEN [1, 2] WHEN contains(t, 'mittellang') THEN [2, 3] WHEN contains(t, ', lang') THEN [3, 4] WHEN contains(t, 'Maxi') THEN [3, 4, 5] ELSE [1, 2, 3, 4, 5] END AS lw, CASE WHEN contains(t, 'Superhoch') THEN [3, 4] WHEN contains(t, 'Hochdach') THEN [2, 3] WHEN contains(t, 'Flach') THEN [1] ELSE [1, 2, 3, 4] END AS hw FROM n)
+SELECT part, array_to_string(list_sort(CASE WHEN len(list_intersect(lx, lw)) > 0 THEN list_intersect(lx, lw) ELSE lx END), ' ') AS lengths, array_to_string(list_sort(CASE WHEN len(list_intersect(hx, hw)) > 0 THEN list_intersect(hx, hw) ELSE hx END), ' ') AS heights FROM s""")
+def van_sizes(spark, sf_dir):
+    """Which lengths and heights a van may have, by codes and words: each sign narrows what is left."""
+    size = F.col("p_size")
+    code = F.when(size % 3 != 0, F.concat(F.lit("L"), size % 5 + 1, F.when(size % 2 == 0, F.concat(F.lit("H"), size % 4 + 1)).otherwise(""), F.lit(" "))).otherwise("")
+    word = F.when(F.col("p_type") == "LARGE", "Hochdach, lang").when(F.col("p_type") == "SMALL", "Flachdach kurz").when(F.col("p_type") == "MEDIUM", "mittellang").when(F.col("p_type") == "PROMO", "Maxi; Superhochdach").otherwise(F.col("p_name"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat(F.lit("Crafter "), code, word).alias("t"))
+    told = lambda c: F.array_join(c.cast("array<string>"), " ")
+    return t.select("part", told(vans.lengths(F.col("t"))).alias("lengths"), told(vans.heights(F.col("t"))).alias("heights"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS part, p_size, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CASE WHEN p_size % 5 = 0 THEN p_size * 9 ELSE 0 END END AS re, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CASE WHEN p_size % 11 = 0 THEN 1 ELSE 0 END END AS pe, CASE WHEN p_size % 13 = 0 THEN 3 ELSE 0 END AS un FROM part)
+SELECT part, CASE WHEN pe > 0 OR un > 0 OR re > 100 THEN 'FAILING' WHEN re > 0 THEN 'WORN' WHEN re = 0 AND (pe = 0 OR (pe IS NULL AND p_size % 8 = 0)) AND un = 0 THEN 'CLEAN' ELSE 'UNREADABLE' END AS verdict, CAST(p_size * 1000 AS BIGINT) AS hours FROM c""")
+def health_verdicts(spark, sf_dir):
+    """What a health screen's text says of a drive: its counts are read line by line, then judged."""
+    size = F.col("p_size")
+    line = lambda number, name, value: F.concat(F.lit(f"{number} {name} 100 100 10 "), value.cast("string"), F.lit("\n"))
+    text = F.concat(
+        F.lit("ID Attribute Current Worst Threshold Raw\n"),
+        F.when(size % 7 != 0, line("05", "Reallocated Sectors Count", F.when(size % 5 == 0, size * 9).otherwise(0))).otherwise(""),
+        line("09", "Power-On Hours", size * 1000),
+        F.when(size % 4 != 0, line("C5", "Current Pending Sector Count", F.when(size % 11 == 0, 1).otherwise(0))).otherwise(""),
+        line("C6", "Uncorrectable Sector Count", F.when(size % 13 == 0, 3).otherwise(0)),
+    )
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_size", text.alias("t"))
+    read = {a: health.count_of(F.col("t"), a) for a in health.ATTRIBUTES}
+    return t.select("part", health.verdict(read["reallocated"], read["pending"], read["uncorrectable"], size % 8 == 0).alias("verdict"), read["hours"].alias("hours"))

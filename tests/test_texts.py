@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerlane.functions import drives, fit, money, sale, terms, vehicles
+from offerlane.functions import drives, fit, health, money, sale, terms, vans, vehicles
 from offerlane.functions import text as text_functions
 from offerlane.operators import lookups, relevance, repairs
 
@@ -136,3 +136,21 @@ def test_vetoes(spark):
     said = lambda f, t, q: value(spark, f(terms.normalise(F.lit(t)), q))
     assert said(terms.is_consumable, "Staubbeutel für Kärcher", "kärcher") and not said(terms.is_consumable, "Kärcher mit Staubbeutel", "kärcher") and not said(terms.is_consumable, "Staubbeutel", "staubbeutel")
     assert said(terms.is_built_in, "Dell Laptop mit Samsung SSD", "ssd") and not said(terms.is_built_in, "SSD für Laptop", "ssd") and not said(terms.is_built_in, "Laptop mit SSD", "laptop ssd")
+
+
+def test_van_sizes(spark):
+    told = lambda t: (value(spark, vans.lengths(F.lit(t))), value(spark, vans.heights(F.lit(t))))
+    assert told("VW Crafter L3H2 TDI") == ([3], [2])
+    assert told("Transit lang, Hochdach") == ([3, 4], [2, 3])
+    assert told("Master L2 lang") == ([2], [1, 2, 3, 4])  # a sign that leaves nothing is passed over
+    assert told("Ducato Maxi L5H3") == ([5], [3]) and told("Sprinter") == ([1, 2, 3, 4, 5], [1, 2, 3, 4])
+
+
+SCREEN = "ID Name\n05 Reallocated Sectors Count 100 100 10 {}\n09 Power-On Hours 90 90 0 41234\nC5 Current Pending Sector Count 100 100 0 {}\nC6 Uncorrectable Sector Count 100 100 0 {}\n"
+
+
+@pytest.mark.parametrize("screen, want", [(SCREEN.format(0, 0, 0), "CLEAN"), (SCREEN.format(8, 0, 0), "WORN"), (SCREEN.format(800, 0, 0), "FAILING"), (SCREEN.format(0, 2, 0), "FAILING"), (SCREEN.format(0, 0, 1), "FAILING"), (SCREEN.format("?", 0, 0), "UNREADABLE"), ("hello", "UNREADABLE"), ("", "UNREADABLE")])
+def test_health_screens(spark, screen, want):
+    n = {a: health.count_of(F.lit(screen), a) for a in health.ATTRIBUTES}
+    assert value(spark, health.verdict(n["reallocated"], n["pending"], n["uncorrectable"], F.lit(False))) == want
+    assert value(spark, n["hours"]) == (41234 if "Hours" in screen else None)
