@@ -89,7 +89,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """A store of JSON records: what reads, and the text of what doesn't."""
-    rows = spark.read.schema(f"{schema}, _unread string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_unread").cache()
+    read = F.from_json("value", f"{schema}, _unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(read.alias("r")).select("r.*")
     return rows.where("_unread is null").drop("_unread"), rows.where("_unread is not null").select("_unread")
 
 

@@ -111,6 +111,12 @@ def first_sightings(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["search", "offer"]).drop("_t")
 
 
+def floor_crossings(stream: DataFrame, floor_cents: int, delay: str = "1 day") -> DataFrame:
+    """Offers of a stream the first time that they reach the floor, each once; what reached it more than the delay ago is
+    forgotten."""
+    return first_sightings(stream.where(F.col("price_cents") >= floor_cents), delay)
+
+
 def windowed_counts(stream: DataFrame, width: str = "6 hours", delay: str = "1 day") -> DataFrame:
     timed = stream.withColumn("_t", F.col("seen").cast("timestamp")).withWatermark("_t", delay)
     g = timed.groupBy("search", F.window("_t", width)).agg(F.count(F.lit(1)).alias("n"))

@@ -107,6 +107,9 @@ def test_stream_and_log_agree(spark, tmp_path):
     q = drops.first_sightings(spark.readStream.schema(log.schema).parquet(live), "400 days").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == log.select("search", "offer").distinct().count()
+    q = drops.floor_crossings(spark.readStream.schema(log.schema).parquet(live), 5000, "400 days").writeStream.format("memory").queryName("crossed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("crossed").count() == log.where("price_cents >= 5000").select("search", "offer").distinct().count()
     q = drops.windowed_counts(spark.readStream.schema(log.schema).parquet(live)).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == log.count()
