@@ -6,11 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(cents: Column, where: Column | None = None, prefix: str = "") -> list[Column]:
-    """Count, median and quartiles of the rows where the condition holds: linear between values, rounded to a cent, in
-    units. From cents the interpolation is exact, so that no rounding hangs on a last bit."""
-    v = cents if where is None else F.when(where, cents)
-    return [F.count(v).alias(f"{prefix}count"), *((F.round(F.percentile(v, q)) / 100).alias(f"{prefix}{name}") for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)))]
+def spreads(df: DataFrame, cents: str, keys: list[str], segments: dict[str, Column | None]) -> DataFrame:
+    """Count, median and quartiles of each segment (prefix: condition, None for all rows), in units: linear between values,
+    rounded to a cent. Equal values are counted before they are shuffled; only distinct ones are put in order, once for
+    all segments. From cents the interpolation is exact, so that no rounding hangs on a last bit."""
+    of = lambda c: F.count(F.lit(1)) if c is None else F.count_if(c)
+    counts = df.where(F.col(cents).isNotNull()).groupBy(*keys, cents).agg(*(of(c).alias(f"_n_{p}") for p, c in segments.items()))
+    all_ = Window.partitionBy(*keys)
+    upto = all_.orderBy(cents)
+    laid = counts.select(*keys, cents, *(F.sum(f"_n_{p}").over(upto).alias(f"_upto_{p}") for p in segments), *(F.sum(f"_n_{p}").over(all_).alias(f"_of_{p}") for p in segments))
+    picked, told = [], []
+    for p in segments:
+        n = F.col(f"_of_{p}")
+        picked.append(F.max(n).alias(f"{p}count"))
+        for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+            low = F.floor((n - 1) * q)
+            for side, place in (("lo", low), ("hi", F.least(low + 1, n - 1))):
+                picked.append(F.min(F.when((n > 0) & (F.col(f"_upto_{p}") > place), F.col(cents))).alias(f"_{p}{name}_{side}"))
+            lo, hi, at = F.col(f"_{p}{name}_lo"), F.col(f"_{p}{name}_hi"), (F.col(f"{p}count") - 1) * q
+            told.append((F.round(lo + (hi - lo) * (at - F.floor(at))) / 100).alias(f"{p}{name}"))
+    found = laid.groupBy(*keys).agg(*picked)
+    return found.select(*keys, *(f"{p}count" for p in segments), *told)
 
 
 def upper_median(df: DataFrame, value: str, keys: list[str], name: str = "middle") -> DataFrame:

@@ -34,15 +34,8 @@ def sold_price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a thing sold for, in EUR: all, and by way of sale and condition."""
     sold = listings(spark, sf_dir).where(F.col("sold") & F.contains(F.lower("title"), F.lit("ring")) & ~F.col("condition").eqNullSafe("PARTS_ONLY"))
     v, auction, kind = _eur(), F.col("sale_type").eqNullSafe("AUCTION"), F.coalesce("condition", F.lit(""))
-    parts = [
-        *aggregates.spread(F.col("v")),
-        *aggregates.spread(F.col("v"), auction, "auction_"),
-        *aggregates.spread(F.col("v"), ~auction, "buy_now_"),
-        *aggregates.spread(F.col("v"), kind == "NEW", "new_"),
-        *aggregates.spread(F.col("v"), kind == "REFURBISHED", "refurbished_"),
-        *aggregates.spread(F.col("v"), ~kind.isin("NEW", "REFURBISHED"), "used_"),
-    ]
-    return sold.withColumn("v", v).groupBy("platform").agg(*parts)
+    segments = {"": None, "auction_": auction, "buy_now_": ~auction, "new_": kind == "NEW", "refurbished_": kind == "REFURBISHED", "used_": ~kind.isin("NEW", "REFURBISHED")}
+    return aggregates.spreads(sold.withColumn("v", v), "v", ["platform"], segments)
 
 
 @query(
@@ -51,7 +44,7 @@ SELECT month, {_spread_sql("true")} FROM s GROUP BY month ORDER BY month"""
 )
 def sold_price_months(spark, sf_dir):
     sold = listings(spark, sf_dir).where("sold").select(F.date_format("sold_at", "yyyy-MM").alias("month"), _eur().alias("v"))
-    return sold.groupBy("month").agg(*aggregates.spread(F.col("v"))).orderBy("month")
+    return aggregates.spreads(sold, "v", ["month"], {"": None}).orderBy("month")
 
 
 _ORIGIN_SQL = "CASE platform WHEN 'EUROPE' THEN 'DE' WHEN 'AMERICA' THEN 'US' WHEN 'ASIA' THEN 'CH' WHEN 'AFRICA' THEN 'ZA' ELSE 'PL' END"
