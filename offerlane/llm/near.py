@@ -5,18 +5,21 @@ least values of 6 hashes over its shingles: two texts of similarity s agree on o
 0.8 five in a million meet under no key, and fewer the more alike they are. Only pairs whose shingle sets, compared whole,
 are similar enough link.
 
-Texts under one key are all compared while they are few. Of more, eight are compared with all; the pairs that are not yet
-in one component after that follow, so a large group of near copies is not compared pairwise.
+Texts under one key are all compared while they are few. Of more, all are compared with two, the most central ones:
+those that stand under the most and largest keys. Texts that this leaves in another component than most texts of their
+key are then compared with all of other components there, but for pairs that can't be similar enough: shingles that no
+other text under large keys has bound how much a text can share. No key's texts are ever gathered in one row or task.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlane.llm import simhash
@@ -27,7 +30,11 @@ from offerlane.llm.components import connected_components
 SIMILARITY = (4, 5)
 KEYS, LEAST = 40, 6
 #: Texts under one key that are all compared, and those that are compared with all of a larger key.
-FEW, HUBS = 16, 8
+FEW, HUBS = 16, 2
+#: Large keys whose facts are broadcast to their rows (40 bytes each); more are joined. Bytes of texts that are broadcast.
+BROADCAST_KEYS, BROADCAST_TEXTS = 300_000, 32 << 20
+#: Texts that are looked up whose keys are broadcast (48 bytes each).
+BROADCAST_NODES = 500_000
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (4, KEYS * LEAST), np.uint64)
 _FLIP, _FACTOR, _MIX = _SEEDS[0], _SEEDS[1] | np.uint64(1), (_SEEDS[2] | np.uint64(1)).reshape(KEYS, LEAST)
 _STEP = 512
@@ -56,41 +63,30 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """A row for each distinct text: sha, best (no_id, id), n, fp, keys."""
+    """A row for each distinct text: sha, best (no_id, id), n, fp, size (its shingles), keys."""
 
     def run(batches):
         for b in batches:
             texts = texts_of(b.column(2))
-            keys = np.concatenate([keys_of(shingle_set(t, words)) for t in texts]) if texts else np.empty(0, np.int64)
+            sets = [shingle_set(t, words) for t in texts]
+            keys = np.concatenate([keys_of(x) for x in sets]) if texts else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * KEYS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([simhash.fingerprint(t, words) for t in texts], pa.int64()), lists], ["sha", "id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([simhash.fingerprint(t, words) for t in texts], pa.int64()), pa.array(map(len, sets), pa.int64()), lists], ["sha", "id", "fp", "size", "keys"])
 
     rows = docs.select(text_sha(text_col).alias("sha"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(run, "sha binary, id long, fp long, keys array<long>")
+    rows = rows.mapInArrow(run, "sha binary, id long, fp long, size long, keys array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id")))
-    return rows.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    return rows.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("fp", "size", "keys")))
 
 
 def text_sha(text_col: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def _first_pairs(batches):
+def _all_pairs(batches):
     for b in batches:
         for nodes in b.column(0).to_pylist():
-            nodes.sort()
-            hubs = len(nodes) if len(nodes) <= FEW else HUBS
-            yield from _pairs([(x, y) for i, x in enumerate(nodes[:hubs]) for y in nodes[i + 1 :]])
-
-
-def _last_pairs(batches):
-    """Of each key's (root, node), the pairs of different roots."""
-    for b in batches:
-        for found in b.column(0).to_pylist():
-            nodes = np.array(sorted((x["node"], x["root"]) for x in found), np.int64)
-            for i in range(HUBS, len(nodes)):
-                far = nodes[i + 1 :][nodes[i + 1 :, 1] != nodes[i, 1], 0]
-                yield from _pairs([(nodes[i, 0], y) for y in far])
+            yield from _pairs(list(combinations(sorted(nodes), 2)))
 
 
 def _pairs(pairs: list):
@@ -99,23 +95,93 @@ def _pairs(pairs: list):
         yield pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Of pairs(a, b), those whose texts(node, text) are similar."""
+class Texts:
+    """The texts of nodes(sha, node), read from docs. Copies of a text are equal, so any row of it will do."""
+
+    def __init__(self, docs: DataFrame, text_col: str, nodes: DataFrame):
+        self.rows = docs.select(text_sha(text_col).alias("sha"), F.col(text_col).alias("text"))
+        self.shas = nodes.select("sha", "node")
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """wanted(node, n) -> (node, n, text), written: only wanted texts are shuffled, once, where there are few of them."""
+        wanted = checkpointed(self.shas.join(wanted, "node"))
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+        return checkpointed(self.rows.join(wanted, "sha").groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")))
+
+
+def _verified(pairs: DataFrame, texts: Texts, words: int) -> DataFrame:
+    """Of pairs(a, b), those whose texts are similar. The end that stands in more pairs comes last: its text is broadcast
+    where it is a hub's, so that rows with a text aren't shuffled for it."""
     pairs = checkpointed(pairs.distinct())
-    total = pairs.count()
+    degree = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    found = texts.of(degree)
+    ends = pairs
+    total = 2 * pairs.count()
     for side in ("a", "b"):
-        n = pairs.groupBy(F.col(side)).agg(F.count(F.lit(1)).alias("n"))
-        found = n.join(texts.withColumnRenamed("node", side), side).select(side, "n", F.col("text").alias(f"text_{side}"))
-        pairs_with = pairs if side == "a" else joined
-        joined = look_up(pairs_with, found, side, total).drop("n")
+        ends = ends.join(degree.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
+    first = F.col("n_a") <= F.col("n_b")
+    ends = ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"))
+    told = ends.join(found.select(F.col("node").alias("x"), F.col("text").alias("text_x")), "x")
+    told = look_up(told, found.select(F.col("node").alias("y"), "n", F.col("text").alias("text_y")), "y", total, bytes_of=F.octet_length("text_y"), most=BROADCAST_TEXTS)
 
     def run(batches):
         sets = lru_cache(64)(lambda t: shingle_set(t, words))
         for b in batches:
             near = [similar(sets(x), sets(y)) for x, y in zip(texts_of(b.column(2)), texts_of(b.column(3)))]
-            yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            yield b.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return checkpointed(told.select("x", "y", "text_x", "text_y").mapInArrow(run, "a long, b long"))
+
+
+def _unique(texts: DataFrame, words: int) -> DataFrame:
+    """texts(node, text) -> (node, u): how many of a text's shingles no other text has, where there are any."""
+
+    def run(batches):
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                own = shingle_set(t, words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own.view(np.int64))], ["node", "shingle"])
+
+    once = texts.select("node", "text").mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df"))
+    return once.where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _told(rows: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """rows with the other columns of facts(key, n, ...): broadcast where there are few large keys, else looked up."""
+    return rows.join(F.broadcast(facts.drop("n")), "key") if few else look_up(rows, facts, "key", rows.count()).drop("n")
+
 
-    return checkpointed(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+def _few_pairs(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """All pairs of the nodes under keys that few share."""
+    small = dealt.join(large.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list("node").alias("nodes"))
+    return small.where(F.size("nodes") > 1).select("nodes").distinct().mapInArrow(_all_pairs, "a long, b long")
+
+
+def _hub_pairs(under: DataFrame, few: bool) -> DataFrame:
+    """under(key, node, n): each node with the most central nodes of its key."""
+    weight = under.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = under.join(weight, "node").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node")))
+    hubs = ranked.where(F.col("rank") <= HUBS).groupBy("key").agg(F.max("n").alias("n"), F.collect_list("node").alias("hubs"))
+    met = _told(under.select("key", "node"), hubs, few).select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+
+def _stray_pairs(under: DataFrame, roots: DataFrame, sizes: DataFrame, texts: Texts, words: int, few: bool) -> DataFrame:
+    """under(key, node): pairs of nodes of one key and different roots that may be similar enough."""
+    rooted = checkpointed(under.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    most = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n")).where("parts > 1")
+    split = checkpointed(_told(rooted, most.select("key", "n", F.col("top.root").alias("top")), few))
+    nodes = split.select("node").distinct()
+    facts = nodes.join(sizes, "node").join(_unique(texts.of(nodes.select("node", F.lit(1).alias("n"))), words), "node", "left").select("node", "size", (F.col("size") - F.coalesce("u", F.lit(0))).alias("shared"))
+    split = checkpointed(split.join(facts, "node"))
+    # 5 both >= 4 (a + b - both), and both is at most what either may share
+    may = lambda shared, sizes: 9 * shared >= 4 * sizes
+    least = split.groupBy("key").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n"))
+    split = checkpointed(_told(split, least, few).where(may(F.col("shared"), F.col("size") + F.col("least"))).drop("least"))
+    x = split.where("root <> top").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "shared")))
+    met = x.join(split, "key").where((F.col("x_root") != F.col("root")) & may(F.least("x_shared", "shared"), F.col("x_size") + F.col("size")))
+    return met.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,22 +194,20 @@ def without_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id",
     close = simhash.hamming_links(by_fp.select("fp")).join(by_fp.withColumnsRenamed({"fp": "a", "least": "x"}), "a").join(by_fp.withColumnsRenamed({"fp": "b", "least": "y"}), "b")
     close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     dealt = nodes.select("node", F.explode("keys").alias("key"))
-    sets = checkpointed(dealt.groupBy("key").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1))
-    pairs = sets.select("nodes").distinct().mapInArrow(_first_pairs, "a long, b long").unionByName(same).unionByName(close)
-    shas = nodes.select("sha", "node")
-    # Copies of a text are equal, so any row of it will do.
-    texts = lambda pairs: docs.select(text_sha(text_col).alias("sha"), F.col(text_col).alias("text")).join(shas.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "sha").groupBy("node").agg(F.first("text").alias("text"))
-    pairs = checkpointed(pairs.distinct())
-    links = _verified(pairs, texts(pairs), words)
+    large = checkpointed(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW))
+    few = (n_large := large.count()) <= BROADCAST_KEYS
+    large = F.broadcast(large) if few else large
+    pairs = _few_pairs(dealt, large).unionByName(same).unionByName(close)
+    under = checkpointed(dealt.join(large, "key")) if n_large else None
+    if n_large:
+        pairs = pairs.unionByName(_hub_pairs(under, few))
+    texts = Texts(docs, text_col, nodes)
+    links = _verified(pairs, texts, words)
     roots = connected_components(links)
-    large = sets.where(F.size("nodes") > FEW).select("nodes").distinct().select(F.monotonically_increasing_id().alias("set"), "nodes")
-    large = checkpointed(large)
-    if large.limit(1).count():
-        rooted = large.select("set", F.explode("nodes").alias("node")).join(roots, "node", "left").select("set", F.struct(F.coalesce("root", "node").alias("root"), "node").alias("found"))
-        rest = rooted.groupBy("set").agg(F.collect_list("found").alias("found")).where(F.size(F.array_distinct("found.root")) > 1)
-        more = checkpointed(rest.select("found").mapInArrow(_last_pairs, "a long, b long").distinct())
-        if more.limit(1).count():
-            links = links.unionByName(_verified(more, texts(more), words))
+    if n_large:
+        more = checkpointed(_stray_pairs(under, roots, nodes.select("node", "size"), texts, words, few).distinct())
+        if not more.isEmpty():
+            links = links.unionByName(_verified(more, texts, words))
             roots = connected_components(links)
     whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = whole.agg(F.min(F.struct("best", "sha")).alias("first"), F.sum("n").alias("n")).select("first.*", "n")
