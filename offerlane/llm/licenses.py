@@ -30,6 +30,50 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
 }
 
+#: Clauses that several licenses share, in their published words.
+_ISC_GRANT = "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_REST = "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+_MIT_GRANT = TEMPLATES["mit-grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_MIT_NOTICE = "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+_MIT_REST = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall [[the]] {6} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_SOURCE = "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "[[3]] neither the name of [[the]] {8} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_REST = "this software is provided by [[the]] {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+
+#: Whole licenses; titles and names may vary or be missing.
+WHOLE = {
+    "isc": f"{_ISC_GRANT} {_ISC_REST}",
+    "mit-text": f"{_MIT_GRANT} {_MIT_NOTICE} {_MIT_REST}",
+    "bsd-2-clause": f"{TEMPLATES['bsd-grant']} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_REST}",
+    "bsd-3-clause": f"{TEMPLATES['bsd-grant']} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_REST}",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "0bsd": f"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted {_ISC_REST}",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license",
+    "boost-1.0": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "postgresql": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+}
+
+#: Clauses and notices by which a license is told where its whole text isn't there.
+NOTICES = {
+    "mit-notice-kept": _MIT_NOTICE,
+    "bsd-no-endorsement": _BSD_NAMES,
+    "gpl-no-warranty": "this {1} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "apache-no-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "epl-2.0": "under the terms of the eclipse public license [[v]] [[version]] 2 0",
+    "cddl-1.0": "subject to the terms of the common development and distribution license",
+    "cc0-1.0": "[[creative commons]] cc0 1 0 universal",
+    "ofl-1.1": "this font software is licensed under the sil open font license version 1 1",
+    "artistic-2.0": "under [[the terms of]] the artistic license [[version]] 2 0",
+    "mpl-1.1": "the contents of this file are subject to the mozilla public license version 1 1",
+    "gfdl": "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+    "json": "the software shall be used for good not evil",
+    "hpnd": "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee",
+    "boost-notice": "distributed under the boost software license version 1 0",
+}
+TEMPLATES |= WHOLE | NOTICES
+
 _PARTS = "[[licensed]] [[redistribute it and or modify it]] under the [[terms of the]] {} [[license]] [[as published by the free software foundation]] [[either]] {} [[of the license]]"
 _GNU = {"gpl": ("gnu general public", ["3", "2"]), "lgpl": ("gnu lesser general public", ["3", "2 1"]), "agpl": ("gnu affero general public", ["3"])}
 _CC = {"by": "attribution", "by nc": "attribution noncommercial", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
