@@ -34,7 +34,7 @@ CLOSE, ROUNDED, GAIN, WINDOW = 5e-4, 3e-3, 2e-4, 10
 COLUMNS, EXCHANGES = 150, 100
 #: Documents in a bucket in which sums are counted one after the other; buckets in which the ranks of a length are;
 #: buckets whose sums are added up at once.
-BUCKET, RANKED, BLOCK = 2048, 64, 4096
+BUCKET, RANKED, BLOCK = 2048, 4, 4096
 #: Documents given up whose keys are broadcast (24 bytes each); more are joined.
 BROADCAST_ROWS = 500_000
 
