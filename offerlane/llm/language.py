@@ -21,6 +21,8 @@ BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
 #: Training texts for each language, about: those whose hash lies below the share that this is of the language's rows.
 TRAIN_EACH = 800
+#: Languages at most: the model has BUCKETS weights for each.
+CLASSES = 500
 EPOCHS, BATCH = 4, 32
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 _LETTER = regex.compile(r"\p{L}")
@@ -101,13 +103,19 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = TRAIN_EACH) -> Model | None:
-    """Of rows with an id, a text and a language whose crc32(doc_id) mod 4 isn't 2. None without any."""
+    """Of rows with an id, a text and a language whose crc32(doc_id) mod 4 isn't 2. None without any; an error if there are
+    more than CLASSES languages.
+
+    The weights are learned from about `each` texts a language, those whose hash lies below a share, and twice as many at
+    most: of more, those with the smallest hashes. Rows that repeat both id and text count once there."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     rows = rows.where(fold("doc_id", 4) != 2)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(CLASSES + 1).collect()}  # a row for each language
     if not sizes:
         return None
+    if len(sizes) > CLASSES:
+        raise ValueError(f"more than {CLASSES} languages: is {lang_col} a language?")
 
     def frequencies(batches):
         df, n = np.zeros(BUCKETS, np.int64), 0
@@ -125,7 +133,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(1)
     classes = sorted(sizes)
-    u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.element_at(F.create_map(*[F.lit(v) for c in classes for v in (c, min(1.0, each / sizes[c]))]), F.col("lang"))
+    drawn = F.xxhash64("doc_id", "text")
+    u = (F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)) < F.element_at(F.create_map(*[F.lit(v) for c in classes for v in (c, min(1.0, each / sizes[c]))]), F.col("lang"))
 
     def sparse(batches):
         for b in batches:
@@ -136,7 +145,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 held = [np.flatnonzero(r) for r in c]
                 yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + 64]), pa.array([h.astype("<i4").tobytes() for h in held], pa.binary()), pa.array([r[h].astype("<i4").tobytes() for r, h in zip(c, held)], pa.binary())], ["lang", "at", "n"])
 
-    sample = rows.where(u).select("text", "lang").mapInArrow(sparse, "lang string, at binary, n binary").limit(2 * each * len(classes)).collect()
+    chosen = rows.where(u).select("text", "lang", drawn.alias("drawn")).dropDuplicates(["drawn", "lang"]).orderBy("drawn", "lang").limit(2 * each * len(classes))
+    sample = chosen.select("text", "lang").mapInArrow(sparse, "lang string, at binary, n binary").collect()
     sample = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in sample)
     if not sample:
         return None

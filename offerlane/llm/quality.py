@@ -19,6 +19,8 @@ from offerlane.llm.common import chunks, flat, fold, run_hashes, runs_of, ship,
 
 #: Labelled documents that the field is fitted to, at most: those with the smallest hash of their id.
 TRAIN_DOCS = 4000
+#: Lines that a document of the sample may have (longer ones are scored, but not learned from), so that it is bounded.
+TRAIN_DOC_LINES = 512
 #: Lines in a training sequence; longer documents are several sequences.
 TRAIN_LINES = 64
 STEPS, RATE, PENALTY = 120, 0.1, 1e-3
@@ -151,8 +153,8 @@ def _sequences(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Field | None:
     """The field of at most `most` labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0): those whose
-    id has the smallest hash. Null ids and labels are left out; an id with several labels takes the smallest. None if
-    there is nothing of both labels to learn from."""
+    id has the smallest hash. Null ids and labels are left out; an id with several labels takes the smallest, one with
+    several texts the least of them. None if there is nothing of both labels to learn from."""
     ship(docs.sparkSession)
     mine = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
     mine = mine.groupBy("label_id").agg(F.min("label").alias("label")).where(fold("label_id", 5) != 0).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
@@ -163,10 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for a, z in chunks(texts):
                 x, _, counts = lines_of(texts[a:z])
                 cuts = np.append(0, np.cumsum(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(labels[a:z], pa.int32()), pa.array([x[s:e].astype(np.float32).tobytes() for s, e in zip(cuts, cuts[1:])], pa.binary())], ["label", "x"])
+                cuts = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(labels[a:z], pa.int32()), pa.array([x[s:e].astype(np.float32).tobytes() if e - s <= TRAIN_DOC_LINES else b"" for s, e in cuts], pa.binary())], ["label", "x"])
 
     wanted = F.broadcast(mine)  # at most `most` rows
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id") == F.col("label_id")).select("label", "text").mapInArrow(measure, "label int, x binary").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text").mapInArrow(measure, "label int, x binary").collect()
     rows = sorted((r["label"], bytes(r["x"])) for r in rows if r["x"])
     if len({r[0] for r in rows}) < 2:
         return None
