@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from test_near import slow_kept
 
 from offerlane.llm import common, components, decontaminate, exact, fuse, language, licenses, packing, quality, queries, simhash, tokens, urls, warc
 from offerlane.llm.common import table
@@ -209,21 +210,19 @@ def test_exact_whole_table_and_odd_rows(spark, docs, odd, none):
     assert exact.exact_duplicates(none).count() == 0
 
 
-def test_byte_checks_find_texts_that_differ(spark, docs):
-    rows = exact.digests(docs)
-    groups = rows.groupBy("sha").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n")
+def test_texts_of_one_digest_are_compared_and_split(spark, docs, odd, monkeypatch):
+    groups = exact.digests(docs).groupBy("sha").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n")
+    for most in (1_000_000, 0):
+        assert exact.differing(docs, groups, most=most).count() == 0
+    whole = {id(df): (exact.exact_duplicates(df).drop("text_sha256").collect(), exact.without_copies(df).collect()) for df in (docs, odd)}
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n: exact.F.lit("ab" * 32))
     for most in (1_000_000, 0):
-        exact.check_bytes(docs, groups, most=most)
-    from pyspark.sql import functions as F
-
-    real, exact.F.sha2 = F.sha2, lambda c, n: F.lit("ab" * 32)
-    try:
         wrong = spark.createDataFrame([(bytes.fromhex("ab" * 32), 2)], "sha binary, n long")
-        for most in (1_000_000, 0):
-            with pytest.raises(RuntimeError):
-                exact.check_bytes(docs, wrong, most=most)
-    finally:
-        exact.F.sha2 = real
+        assert exact.differing(docs, wrong, most=most).count() == 1
+    for df in (docs, odd):
+        assert collections.Counter(exact.exact_duplicates(df).drop("text_sha256").collect()) == collections.Counter(whole[id(df)][0])
+    monkeypatch.setattr(exact, "one_row", lambda docs, mark, kept: docs.limit(0))
+    assert collections.Counter(exact.without_copies(odd).collect()) == collections.Counter(whole[id(odd)][1])
 
 
 # 4
@@ -254,20 +253,24 @@ def test_urls(spark, inline):
 # 5
 
 
+def manifest_of(root):
+    return sorted((json.loads(x) for p in Path(root, "manifest").glob("part-*") for x in p.read_text().splitlines()), key=lambda r: r["name"])
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "x" * 200
     rows = [(i, f"http://a/{i}\r\nX: y", f"<p>{i}</p>" * 30, "k") for i in range(60)]
     rows += [(100, "u", long, "k"), (101, None, long, "k"), (99, "u", long, "k"), (None, "u", long, "k"), (5, None, None, "k"), (6, "u", "", "k"), (7, "u", "short", "k"), (8, "u", "short", "k"), (9, "u", "é\0\r\n\r\n" * 50, "k")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(5)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     manifests = []
-    for name in ("a", "b"):
+    for name, parts in (("a", 5), ("b", 3)):
         root = f"file://{tmp_path}/{name}"
-        warc.write_warc(pages, root, shard_ids=20, roll_bytes=1500)
-        manifests.append(json.loads(Path(tmp_path, name, "manifest.json").read_text()))
-    assert manifests[0] == manifests[1] and len(manifests[0]["files"]) > 5
-    assert not Path(tmp_path, "a", "_temporary").exists()
+        warc.write_warc(pages.repartition(parts), root, shard_bytes=8000, least_bytes=8000, roll_bytes=1500)
+        manifests.append(manifest_of(tmp_path / name))
+    assert manifests[0] == manifests[1] and len({f["shard"] for f in manifests[0]}) > 5 and max(f["nth"] for f in manifests[0]) > 0
+    assert not Path(tmp_path, "a", "_attempts").exists()
     got = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
-    assert sum(f["records"] for f in manifests[0]["files"]) == len(got) == len(rows)
+    assert sum(f["records"] for f in manifests[0]) == len(got) == len(rows)
     html = {(r[0], len((r[2] or "").encode())): (r[2] or "").encode() for r in rows}
     for r in got:
         if r["record_type"] == "response":
@@ -278,6 +281,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def slow_warc(rows):
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(i, first.get(html or "", i))
+    out = collections.Counter()
+    for i, _, html in rows:
+        t = html or ""
+        refers = first.get(t) if len(t.encode()) >= 100 and first.get(t) != i else None
+        out[(i, len(t.encode()), "response" if refers is None else "revisit", refers)] += 1
+    return out
+
+
+def test_warc_of_sparse_ids_long_pages_and_many_copies(spark, tmp_path):
+    """Ids far apart share files; a page of megabytes is one record; copies of one row are dealt over shards."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), f"http://a/{i}", "".join(rng.choice(list("abcdef"), 500))) for i in rng.integers(-(1 << 62), 1 << 62, 60)]
+    rows += [(3, "u", "z" * 3_000_000), (4, "v", "z" * 3_000_000), (None, "u", "y" * 400)] + [(7, "u", "x" * 300)] * 400 + [(8, None, "x" * 300)] * 400 + [(None, "w", "x" * 300)] * 100
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = warc.archived(pages, f"file://{tmp_path}/a").collect()
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == slow_warc(rows)
+    assert len(manifest_of(tmp_path / "a")) <= 2
+    warc.write_warc(pages, f"file://{tmp_path}/b", shard_bytes=100_000, least_bytes=100_000)
+    split = manifest_of(tmp_path / "b")
+    assert len(split) > 5 and max(f["records"] for f in split) < 400
+    got = warc.read_warc(spark, f"file://{tmp_path}/b", payloads=False).collect()
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == slow_warc(rows)
+
+
 # 6
 
 
@@ -298,26 +330,74 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.benchmark_hits(odd, odd_items.limit(0)).count() == 0
 
 
-def test_decontamination_is_exact_weighted_similarity():
+def slow_hits(held, ids, words, rows, similarity=0.8):
+    """All windows of all lengths, by weighted Jaccard alone."""
+    out = {}
+    for row, (doc_id, text) in enumerate(rows):
+        h, _ = decontaminate.word_hashes([text or ""])
+        for i, item in enumerate(ids):
+            k = min(5, words[i])
+            s, size = decontaminate.shingles(h, k), words[i] - k + 1
+            if len(np.intersect1d(s, held.held[i])):
+                for at in range(max(1, len(s) - size + 1)):
+                    if (x := held.similarity(collections.Counter(s[at : at + size].tolist()), i)) >= similarity:
+                        key = (row, doc_id, item)
+                        out[key] = max(out.get(key, (0,)), (round(x, 6), -at, min(words[i], len(h) - at)))
+    return collections.Counter((d, i, -at, n, x) for (_, d, i), (x, at, n) in out.items()), {row for row, _, _ in out}
+
+
+def planted(rng, vocabulary, items, docs):
+    text = lambda n: list(rng.choice(vocabulary, n))
+    rows = []
+    for d in range(docs):
+        words = items[int(rng.integers(len(items)))][1].split()
+        for _ in range(int(rng.integers(0, 3))):
+            at = int(rng.integers(len(words)))
+            words[at : at + int(rng.integers(0, 2))] = ["changed"] * int(rng.integers(0, 2))
+        rows.append((d if d % 7 else None, " ".join(text(int(rng.integers(0, 60))) + words + text(int(rng.integers(0, 40))))))
+    return rows
+
+
+def test_decontamination_finds_all_windows_whatever_the_blocks(spark):
+    """Items of several lengths, sharing a phrase, some twice, one without id; against all windows, in one block and in many."""
     rng = np.random.default_rng(2)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
-    text = lambda n: list(rng.choice(vocabulary, n))
-    items = [(i, " ".join(text(30))) for i in range(20)]
+    phrase = "which of the following statements is true about"
+    items = [(i, f"{phrase} " * (i % 2) + " ".join(rng.choice(vocabulary, int(rng.integers(6, 40))))) for i in range(40)]
+    items += [(5, items[6][1]), (7, items[7][1]), (None, "an item without id that has eight words"), (60, "two words"), (61, f"{phrase} {phrase}")]
+    rows = planted(rng, vocabulary, items, 140) + [(900, f"{phrase} nothing"), (901, f"see {phrase} {phrase} two words"), (None, None), (902, "")]
+    distinct = sorted(set(items), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    held = decontaminate.Items(distinct)
+    want, hit = slow_hits(held, [r[0] for r in distinct], [len(r[1].split()) for r in distinct], rows)
+    assert len(want) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table_ = spark.createDataFrame(items + [(70, None), (71, " . ")], "item_id long, text string")
+    for item_bytes in (1 << 22, 1 << 10):
+        got = decontaminate.benchmark_hits(docs, table_, item_bytes=item_bytes).collect()
+        assert collections.Counter((r["doc_id"], r["item_id"], r["first_word"], r["n_words"], round(r["similarity"], 6)) for r in got) == want
+        left = collections.Counter(tuple(r) for r in decontaminate.without_benchmark(docs, table_, item_bytes=item_bytes).collect())
+        assert left == collections.Counter(r for i, r in enumerate(rows) if i not in hit)
+
+
+def test_block_tables_find_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 6000):
+        prints = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+        held = decontaminate.Prints(np.arange(n) + 10, prints)
+        for _ in range(40):
+            f = prints[int(rng.integers(n))] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 25)), replace=False)))
+            assert held.near(f).tolist() == (np.flatnonzero(np.bitwise_count(prints ^ f) <= decontaminate.RADIUS) + 10).tolist()
+
+
+def test_a_phrase_that_all_items_share_lays_no_windows():
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    items = [(i, "which of the following statements is true about " + " ".join(rng.choice(vocabulary, 20))) for i in range(1600)]
+    text = " ".join("which of the following statements is true about " + " ".join(map(str, rng.integers(0, 10**6, 12))) for _ in range(50))
     held = decontaminate.Items(items)
-    for _ in range(60):
-        i = int(rng.integers(20))
-        words = items[i][1].split()
-        for _ in range(int(rng.integers(0, 3))):
-            words[int(rng.integers(30))] = "changed"
-        doc = text(50) + words + text(40)
-        h, _ = decontaminate.word_hashes([" ".join(doc)])
-        s = decontaminate.shingles(h, 5)
-        best = {}
-        for j in range(20):
-            for at in range(len(doc) - 29):
-                x = held.similarity(collections.Counter(s[at : at + 26].tolist()), j)
-                best[j] = max(best.get(j, 0), x)
-        assert {(j, round(x, 9)) for j, _, _, x in held.search(h)} == {(j, round(x, 9)) for j, x in best.items() if x >= 0.8}
+    h, _ = decontaminate.word_hashes([text])
+    (shape,) = held.shapes
+    assert len(shape.hits(decontaminate.shingles(h, 5))[0]) == 0
 
 
 # 7, 8
@@ -364,6 +444,91 @@ def test_language_held_out(spark, odd, none):
     assert language.identify(none).count() == 0
 
 
+def plain_ftrl(x, y, classes):
+    """FTRL-proximal, one weight after the other."""
+    d = x.shape[1]
+    z, n, w = [[0.0] * classes for _ in range(d)], [[0.0] * classes for _ in range(d)], [[0.0] * classes for _ in range(d)]
+    order = np.random.default_rng(7)
+    for _ in range(language.EPOCHS):
+        for at in np.array_split(order.permutation(len(x)), max(1, len(x) // language.BATCH)):
+            grads = [[0.0] * classes for _ in range(d)]
+            for i in at:
+                scores = [sum(x[i, j] * w[j][c] for j in range(d)) for c in range(classes)]
+                e = [np.exp(v - max(scores)) for v in scores]
+                for c in range(classes):
+                    error = e[c] / sum(e) - (c == y[i])
+                    for j in range(d):
+                        grads[j][c] += x[i, j] * error
+            for j in range(d):
+                for c in range(classes):
+                    g = grads[j][c]
+                    z[j][c] += g - ((n[j][c] + g * g) ** 0.5 - n[j][c] ** 0.5) / language.ALPHA * w[j][c]
+                    n[j][c] += g * g
+                    v = z[j][c]
+                    w[j][c] = 0.0 if abs(v) <= language.L1 else -(v - np.sign(v) * language.L1) / ((language.BETA + n[j][c] ** 0.5) / language.ALPHA + language.L2)
+    return np.array(w)
+
+
+def test_ftrl_and_temperature_match_plain_ones():
+    rng = np.random.default_rng(11)
+    x, y = rng.random((90, 6)), rng.integers(0, 3, 90)
+    x[np.arange(90), y] += 1
+    x[:, 5] = 0
+    w = language.ftrl(x, y, 3)
+    assert np.allclose(w, plain_ftrl(x, y, 3)) and not w[5].any() and ((x @ w).argmax(1) == y).mean() > 0.9
+    scores = rng.normal(size=(400, 3)) * 4
+    truth = np.array([rng.choice(3, p=p) for p in language._softmax(scores / 2.5)])
+    loss = lambda t: -np.log(language._softmax(scores / t)[np.arange(400), truth]).mean()
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 2000))
+    best = grid[int(np.argmin([loss(t) for t in grid]))]
+    assert language.temperature(scores, truth) == pytest.approx(best, rel=0.01) and language.temperature(scores[:0], truth[:0]) == 1
+    assert loss(language.temperature(scores, truth)) < loss(1.0)
+
+
+def test_tf_idf_of_n_grams():
+    texts = ["Ab", "b", ""]
+    counts = language.counts_of([t.encode() for t in texts])
+    for t, row in zip(texts, counts):
+        padded = f" {t.lower()} "
+        assert row.sum() == sum(max(0, len(padded) - n + 1) for n in language.ORDERS)
+    idf = np.full(language.BUCKETS, 2.0, np.float32)
+    want = np.log1p(counts[0]) * 2
+    assert np.allclose(language._tf_idf(counts, idf)[0], want / np.sqrt((want**2).sum()))
+
+
+def test_language_learns_once_from_repeated_rows(spark, monkeypatch):
+    rows = [(1, "the cat and the dog", "en")] * 300 + [(3, "der hund und die katze", "de")] * 5 + [(i, f"the {i} and the", "en") for i in range(10, 40)] + [(i, f"der {i} und die", "de") for i in range(50, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first, again = (language.train(docs.repartition(n)) for n in (3, 5))
+    assert first.classes == ["de", "en"] and np.array_equal(first.weights, again.weights)
+    monkeypatch.setattr(language, "CLASSES", 1)
+    with pytest.raises(ValueError):
+        language.train(docs)
+
+
+def test_gradient_of_the_field():
+    """What fit() follows is the slope of the labels' likelihood, by differences."""
+    rng = np.random.default_rng(4)
+    counts, labels = np.array([3, 2]), np.array([1, 0])
+    z = rng.normal(size=(5, 4))
+    y = np.repeat(labels, counts)
+
+    def loss(at):
+        field = quality.Field(np.zeros(4), np.ones(4), at[:4], at[4:].reshape(2, 2))
+        e = z @ at[:4]
+        _, _, logs = field.marginals(e, counts, pairs=True)
+        own = sum(e[i] * y[i] for i in range(5)) + sum((n - 1) * field.moves[k, k] for n, k in zip(counts, labels))
+        return logs.sum() - own
+
+    at = rng.normal(size=8)
+    field = quality.Field(np.zeros(4), np.ones(4), at[:4], at[4:].reshape(2, 2))
+    good, moves, _ = field.marginals(z @ at[:4], counts, pairs=True)
+    seen = np.array([[1.0, 0], [0, 2.0]])
+    slope = np.concatenate((z.T @ (good - y), (moves - seen).ravel()))
+    step = 1e-5
+    assert np.allclose(slope, [(loss(at + step * d) - loss(at - step * d)) / (2 * step) for d in np.eye(8)], atol=1e-5)
+
+
 # 9, 10
 
 STRANGE = ["", "   ", "aaaaaaaa aaaaaaaaaaaaa", "x<|endoftext|>y <|endoftext|>", "don't we'll", "é ü 日本語 🙂🙂  x", "  a\x1c\x1d b\x85c", "\0abc \0", " '", "''s"]
@@ -411,18 +576,70 @@ def test_packing(spark, texts, odd, none):
     assert packing.pack(none).count() == 0
 
 
-def test_patterns_fill_sequences():
-    rng = np.random.default_rng(4)
-    counts = collections.Counter((rng.exponential(300, 60_000).astype(int) % 1023 + 1).tolist())
-    chosen = packing.patterns(counts)
-    used = collections.Counter()
+def exact_sum(lengths, need, size):
+    """The least number of sequences in the linear program, by a check that no filling is worth more than one at its prices."""
+    columns, x, bound = packing.program(lengths, need, size, 0, 0, 0)
+    y = np.maximum(np.linalg.inv(columns).sum(0), 0)
+
+    def best(room, at):
+        if at < 0:
+            return 0.0
+        return max(k * y[at] + best(room - k * int(lengths[at]), at - 1) for k in range(room // int(lengths[at]) + 1))
+
+    assert best(size, len(lengths) - 1) <= 1 + 1e-6
+    assert np.allclose(columns @ x, need, rtol=1e-3) and x.min() >= 0
+    return x.sum(), float(y @ need)
+
+
+def test_the_program_reaches_the_optimum():
+    rng = np.random.default_rng(6)
+    for _ in range(8):
+        lengths = np.sort(rng.choice(np.arange(3, 32), 9, replace=False))
+        need = rng.integers(1, 500, 9).astype(float)
+        primal, dual = exact_sum(lengths, need, 32)
+        assert primal == pytest.approx(dual, rel=1e-3)
+
+
+def share_and_gaps(counts, size=1024):
+    chosen, used = packing.patterns(counts, size), collections.Counter()
     for pattern, n in chosen:
-        assert sum(a * b for a, b in pattern.items()) == 1024
+        assert 0 < sum(a * b for a, b in pattern.items()) <= size and n > 0
         for length, copies in pattern.items():
             used[length] += n * copies
     assert all(used[x] <= counts[x] for x in used)
-    assert sum(x * n for x, n in used.items()) > 0.97 * sum(x * n for x, n in counts.items())
-    assert packing.patterns({}) == [] and packing.patterns({1000: 50}) == []
+    whole, placed = sum(x * n for x, n in counts.items() if 0 < x < size), sum(x * n for x, n in used.items())
+    gaps = sum(n * (size - sum(a * b for a, b in p.items())) for p, n in chosen)
+    assert gaps <= whole - placed < gaps + 2 * size
+    return placed / whole
+
+
+def test_patterns_place_nearly_all_remainders(docs):
+    rng = np.random.default_rng(4)
+    assert share_and_gaps(collections.Counter((rng.exponential(300, 60_000).astype(int) % 1023 + 1).tolist())) > 0.99
+    assert share_and_gaps({1000: 50}) > 0.95 and share_and_gaps({5: 1}) == 0
+    assert share_and_gaps({x: int(n) for x, n in zip(rng.choice(1023, 300, replace=False) + 1, rng.integers(1, 200, 300))}) > 0.95
+    assert packing.patterns({}) == []
+    t = tokenizer()
+    table_ = table(docs.sparkSession, "/root/testdata/sf0.01", "documents")
+    r = collections.Counter((len(e.ids) + 1) % 1024 for e in t.encode_batch([x["text"] or "" for x in table_.select("text").collect()], add_special_tokens=False))
+    assert share_and_gaps(r) > 0.9 and share_and_gaps({x: 100 * n for x, n in r.items()}) > 0.98
+
+
+def test_packing_of_many_copies(spark):
+    """A third of the rows alike, rows without id, and long documents among them."""
+    rows = [(10_007, "one text that stands here many times")] * 3000 + [(None, None)] * 2500 + [(i, "word " * (i % 900)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    pieces = packing.pack(docs).collect()
+    spans = collections.defaultdict(list)
+    for p in pieces:
+        spans[p["sequence_id"]].append((p["offset"], p["length"]))
+    for s in spans.values():
+        assert sum(n for _, n in s) == 1024 or bin(sum(n for _, n in s)).count("1") == 1
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(s), sorted(s)[1:]))
+    assert sorted(spans) == list(range(len(spans)))
+    copies = [p for p in pieces if p["doc_id"] == 10_007]
+    n = copies[0]["doc_tokens"]
+    assert collections.Counter(i for p in copies for i in range(p["start"], p["start"] + p["length"])) == {i: 3000 for i in range(n)}
 
 
 # the pipeline
@@ -447,8 +664,38 @@ def test_pipeline_stage_by_stage(spark):
         k = re.sub("[\x20\x09-\x0d]", "", t)
         best[k] = min(best.get(k, (0, 1 << 60)), (-len(t), i))
     assert set(single) == {i for _, i in best.values()}
-    roots = slow_components({i: slow_fingerprint(t, 5) for i, t in single.items()})
-    assert set(near) == set(roots.values()) and len(near) < len(single)
+    assert set(near) == slow_kept(single) and len(near) < len(single)
     hit = {r["doc_id"] for r in decontaminate.benchmark_hits(spark.createDataFrame(list(near.items()), "doc_id long, text string"), table(spark, d, "benchmark")).collect()}
     assert hit and set(clean) == set(near) - hit
     check_pieces(corpus_pipeline.packing_stage(spark, docs, d).collect(), {i: [t] for i, t in clean.items()})
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, odd, none):
+    """Null and repeated ids, empty and long texts, columns with clashing names: every stage against what it says."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    key = lambda r: tuple(r)
+    rows = [tuple(r) for r in odd.collect()]
+    for (_, stage), want in zip(
+        corpus_pipeline.STAGES[:-1],
+        (
+            [r for r, s in zip(rows, quality.score_texts(quality.train(odd, table(spark, d, "labels")), [(r[1] or "").encode() for r in rows])) if s >= quality.THRESHOLD],
+            None,
+            None,
+            rows,
+        ),
+    ):
+        got = stage(spark, odd, d)
+        assert got.columns == odd.columns
+        got = collections.Counter(map(key, got.collect()))
+        assert not got - collections.Counter(rows)
+        if want is not None:
+            assert got == collections.Counter(want)
+        assert stage(spark, none, d).count() == 0 and stage(spark, none, d).columns == none.columns
+    exact_kept = [tuple(r) for r in corpus_pipeline.exact_stage(spark, odd, d).collect()]
+    texts = lambda rows: collections.Counter(re.sub("[\x20\x09-\x0d]", "", r[1] or "") for r in rows)
+    assert texts(exact_kept) == collections.Counter(set(texts(rows)))
+    near_kept = [(r[0], r[1]) for r in corpus_pipeline.near_stage(spark, odd, d).collect()]
+    assert collections.Counter(t for _, t in near_kept if t and t.strip()) == collections.Counter({"Alpha beta gamma delta epsilon": 1, "no id here": 1, "word " * 30_000: 1, ODD[9][1]: 1, "12345 !!!": 1})
+    assert len(near_kept) == 6 and corpus_pipeline.packing_stage(spark, none, d).count() == 0
