@@ -537,6 +537,8 @@ STRANGE = ["", "   ", "aaaaaaaa aaaaaaaaaaaaa", "x<|endoftext|>y <|endoftext|>",
 def test_tokens_match_the_library(spark, texts, odd, none):
     t, m = tokenizer(), tokens.merger(tokens.vocabulary_path())
     some = STRANGE + ["".join(chr(c) for c in range(a, a + 150)) for a in range(0, 0x3000, 150)]
+    rng = np.random.default_rng(1)
+    some += ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (129, 1000, 300_000)] + ["a" * 5000, "ab" * 4000, "x " + "aa" * 400 + "b", "日本" * 900, "1" * 999]
     assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(some)] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
     for r in queries.op9_token_counts(spark, SMALL).collect():
         n = len(t.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
