@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.llm import decontaminate, exact, language, licenses, packing, quality, simhash, tokens, urls, warc
+from offerlane.llm import align, decontaminate, exact, language, licenses, packing, quality, resample, simhash, tokens, urls, warc
 from offerlane.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +69,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_license_scan, op3_exact_dedup, op4_url_filter, op5_warc, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_token_counts, op10_packing, pipeline)
+    for f in (
+        op1_simhash_near_dedup, op2_license_scan, op3_exact_dedup, op4_url_filter, op5_warc, op6_benchmark_decontamination, op7_quality_classifier,
+        op8_language_id, op9_token_counts, op10_packing, op11_token_alignment, op12_importance_resampling, pipeline,
+    )
 }
 
 _EXACT = """
@@ -104,4 +115,24 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": _EXACT, "op4_url_filter": _URLS, "op5_warc": _WARC}
+_RESAMPLE = """
+WITH docs AS (SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+items AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+doc_words AS (SELECT nth, unnest(words) AS word FROM docs),
+item_words AS (SELECT unnest(words) AS word FROM items),
+steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS step),
+bytes AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM doc_words UNION SELECT word FROM item_words)),
+buckets AS (SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, list_extract(step, (xor(c, b) & 255) + 1)))) % 10000 AS bucket FROM bytes, steps),
+s AS (SELECT bucket, count(*) AS n FROM doc_words JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM item_words JOIN buckets USING (word) GROUP BY bucket),
+gains AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((s.n + 1) * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT nth, sum(gain)::BIGINT AS weight FROM doc_words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY nth),
+scored AS (SELECT doc_id, length(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM docs LEFT JOIN weights USING (nth)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM ranked
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_dedup": _EXACT, "op4_url_filter": _URLS, "op5_warc": _WARC, "op12_importance_resampling": _RESAMPLE}
