@@ -13,7 +13,10 @@ Links are counted over the corpus by pairs of ids, once a document, and looked u
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import uuid
 from functools import cache
 
 import numpy as np
@@ -27,11 +30,11 @@ from offerlane.llm.tokens import VOCABULARY, Merger, vocabulary_path
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text in a partition, about (its tokens are 40 to 60 times as large as rows), and partitions at most.
 PART_BYTES, PARTS = 3 << 20, 20_000
-#: Distinct words whose pieces a Python worker keeps, and bytes of a word that is kept.
-KEPT, KEPT_BYTES = 300_000, 64
+#: Distinct words whose ids a Python worker keeps, and characters of a word that is kept.
+KEPT, KEPT_LENGTH = 300_000, 48
 #: Pairs of ids whose counts are broadcast (about 40 bytes each); more are looked up by a join that splits hot pairs.
 BROADCAST_PAIRS = 500_000
-_WORD = re.compile(r" +[^ ]+(?: +$)?|^ +$").findall
+_WORDS = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?|\s+\Z").findall
 
 
 def _bytes_of_piece(piece: str) -> bytes:
@@ -39,26 +42,24 @@ def _bytes_of_piece(piece: str) -> bytes:
 
 
 class LeftSide:
-    """The ids that byte-level BPE gives a space and a text; length says how many bytes each id has."""
+    """The ids that byte-level BPE gives texts; length says how many bytes each id has."""
 
     def __init__(self, path: str):
         self.merger = Merger(path)
         self.merger.special, self.merger.cut = {}, None  # special strings are plain text
-        from tokenizers import Tokenizer
-
-        vocab = Tokenizer.from_file(path).get_vocab()
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
         self.length = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.length[i] = len(token)  # one character for each byte
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.merger.encode([" " + t for t in texts])]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.merger.encode(texts)
 
 
 class RightSide:
-    """The same for pieces. No piece has a blank after another character, so a text's words (with the blanks before them)
-    have the same pieces wherever they stand; a vocabulary that is otherwise is asked for whole texts. A text whose pieces'
-    bytes differ from it (it holds what the model rewrites) has no tokens."""
+    """The same for pieces, of texts that begin with a blank, which the model adds itself. A text that the model rewrites
+    gets no ids."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -68,45 +69,48 @@ class RightSide:
         self.bytes = [_bytes_of_piece(p) for p in pieces]
         self.length = np.array([len(x) for x in self.bytes], np.int64)
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.kept: dict[str, bytes | None] = {}
-
-    def _pieces(self, words: list[str]) -> list[bytes | None]:
-        """Of texts that begin with a blank, which the model adds itself."""
-        out: list[bytes | None] = []
-        for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1)):
-            whole = b"".join([self.bytes[i] for i in ids]) == w.encode()
-            out.append(np.array(ids, "<u4").tobytes() if whole else None)
-        return out
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_WORD(" " + t) if self.apart else [" " + t] for t in texts]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return [np.array(ids, "<u4").tobytes() if b"".join([self.bytes[i] for i in ids]) == t.encode() else b"" for t, ids in zip(texts, found)]
+
+
+class Sides:
+    """The ids of both sides. Neither side has a token across a place where a blank follows a character that is none (if a
+    piece of the vocabulary does, texts are taken whole), so a text is the words between such places, and those have the
+    same ids wherever they stand; a worker keeps the ids of short ones."""
+
+    def __init__(self, left: str, right: str):
+        self.left, self.right = LeftSide(left), RightSide(right)
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
+
+    def words(self, text: str) -> list[str]:
+        return _WORDS(text) if self.right.apart else [text]
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's ids on either side; of both none where a side has not the text's bytes."""
+        words = [self.words(" " + t) if t else [] for t in texts]
+        new = list(set().union(*words).difference(self.kept))
+        self.kept.update(zip(new, zip(self.left(new), self.right(new))))
+        get, out = self.kept.__getitem__, []
+        for t, own in zip(texts, words):
+            a, b = (np.frombuffer(b"".join(x), "<u4") for x in zip(*map(get, own))) if own else (_NONE, _NONE)
+            n = len(t.encode()) + 1
+            out.append((a, b) if self.left.length[a].sum() == self.right.length[b].sum() == n else (_NONE, _NONE))
         if len(self.kept) > KEPT:
             self.kept.clear()
-        new = list(set().union(*words).difference(self.kept))
-        now = dict(zip(new, self._pieces(new)))
-        self.kept.update((w, p) for w, p in now.items() if len(w) <= KEPT_BYTES)
-        now = self.kept | now if len(now) > len(self.kept) else _Both(now, self.kept)
-        out = []
-        for own in words:
-            held = [now[w] for w in own]
-            out.append(np.frombuffer(b"" if None in held else b"".join(held), "<u4"))
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                self.kept.pop(w, None)
         return out
 
 
-class _Both(dict):
-    """A few new words before all that are kept."""
-
-    def __init__(self, first: dict, then: dict):
-        super().__init__(first)
-        self.then = then
-
-    def __missing__(self, key):
-        return self.then[key]
+_NONE = np.empty(0, "<u4")
 
 
 @cache
-def side(kind: type, path: str):
-    return kind(path)
+def sides(left: str, right: str) -> Sides:
+    return Sides(vocabulary_path(left), vocabulary_path(right))
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str, left: str, right: str, kind: str) -> DataFrame:
@@ -114,21 +118,15 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str, left: str, right: str,
     spans = {"short": (np.int16, pa.int16()), "int": (np.int32, pa.int32())}
 
     def run(batches):
-        a, b, (to, arrow) = side(LeftSide, vocabulary_path(left)), side(RightSide, vocabulary_path(right)), spans[kind]
+        both, (to, arrow) = sides(left, right), spans[kind]
         for batch in batches:
-            texts, n_left, sizes, held = texts_of(batch.column(2)), [], [], []
+            texts = texts_of(batch.column(2))
             for i, j in chunks(texts):
-                some = [t.decode("utf-8") for t in texts[i:j]]
-                both = zip(a(some), b(some))
-                for t, (x, y) in zip(texts[i:j], both):
-                    if not t or a.length[x].sum() != len(t) + 1 or b.length[y].sum() != len(t) + 1:
-                        x = y = x[:0]
-                    n_left.append(len(x))
-                    sizes.append(len(x) + len(y))
-                    held += [x.astype(to), y.astype(to)]
-            flat = np.concatenate(held) if held else np.empty(0, to)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, arrow))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_left, pa.int32()), lists], ["row", "doc_id", "n_left", "ids"])
+                found = both([t.decode("utf-8") for t in texts[i:j]])
+                held = [x.astype(to) for pair in found for x in pair]
+                ends = np.append(0, np.cumsum([len(a) + len(b) for a, b in found]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held), arrow))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([len(a) for a, _ in found], pa.int32()), lists], ["row", "doc_id", "n_left", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"row long, doc_id long, n_left int, ids array<{kind}>")
@@ -144,7 +142,7 @@ def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     token of each side that ends there (or null), those that reach over the stretch up to there, and the group's number,
     counted from the text's end. A row without tokens has one line of nulls. row tells rows of docs apart."""
     ship(docs.sparkSession)
-    a, b = side(LeftSide, vocabulary_path(left)).length, side(RightSide, vocabulary_path(right)).length
+    a, b = (x.length for x in (sides(left, right).left, sides(left, right).right))
     mask, kind = (0xFFFF, "short") if max(len(a), len(b)) <= 1 << 16 else (0x7FFFFFFF, "int")
     rows = _tokens(docs, id_col, text_col, left, right, kind).repartition(_parts(docs, text_col), "row")
     tokens = rows.select("row", "doc_id", "n_left", F.posexplode_outer("ids").alias("pos", "id"))
@@ -154,45 +152,75 @@ def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     so_far = Window.partitionBy("row", "right").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = tokens.withColumn("end", F.sum("length").over(so_far))
     own = lambda mine: F.max(F.when(mine, F.col("id")))
-    matched = ended.groupBy("row", "end").agg(F.max("doc_id").alias("doc_id"), own(~F.col("right")).alias("a"), own(F.col("right")).alias("b"))
+    matched = ended.groupBy("row", "doc_id", "end").agg(own(~F.col("right")).alias("a"), own(F.col("right")).alias("b"))
     back = Window.partitionBy("row").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     return matched.select("row", "doc_id", "end", "a", "b", F.last("a", True).over(back).alias("over_a"), F.last("b", True).over(back).alias("over_b"), F.sum(cut).over(back).alias("group"))
 
 
 def _cells(docs: DataFrame, *args) -> DataFrame:
-    """(row, doc_id, cells): a text's stretches in order, each as end * 4 + whether a and b end there, and over_a, over_b."""
-    s = stretches(docs, *args)
-    ends = F.col("end") * 4 + F.col("a").isNotNull().cast("int") * 2 + F.col("b").isNotNull().cast("int")
+    """(row, doc_id, ends, over): a line for each stretch, each text's together and from its end to its start: whether a (2)
+    and b (1) end there, and the ids over it as one number."""
+    ends = F.col("a").isNotNull().cast("int") * 2 + F.col("b").isNotNull().cast("int")
     over = F.shiftleft(F.col("over_a").cast("long"), 32) + F.col("over_b")
-    cells = F.sort_array(F.collect_list(F.when(F.col("end").isNotNull(), F.struct(ends.alias("end"), over.alias("over")))))
-    return s.groupBy("row").agg(F.max("doc_id").alias("doc_id"), cells.alias("cells"))
-
-
-def _parted(col: pa.ListArray):
-    """For each text: the ids of either side in order, the cuts before each, and its links."""
-    offsets = col.offsets.to_numpy()
-    flat = col.values
-    ends, over = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        e, o = ends[x:y], over[x:y]
-        a, b = (e & 2) > 0, (e & 1) > 0
-        cuts = np.cumsum(a & b)
-        before = cuts - (a & b)
-        yield (o[a] >> 32), before[a], (o[b] & 0xFFFFFFFF), before[b], o
-
-
-def groups_text(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
-    n = int(group_a[-1]) + 1 if len(a) else 0
-    # one number for each id: its group, its side, its place
-    ids = np.concatenate((a, b)).astype(str).tolist()
-    order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate((group_a, group_b)))).tolist()
-    first_a = np.diff(group_a, prepend=-1) > 0
-    first_b = np.diff(group_b, prepend=-1) > 0
-    mark = np.concatenate((np.where(first_a, ";", ","), np.where(first_b, "|", ","))).tolist()
-    text = "".join([mark[i] + ids[i] for i in order])
-    return text[1:] if n else ""
+    return stretches(docs, *args).sortWithinPartitions("row", F.desc("end")).select("row", "doc_id", ends.alias("ends"), over.alias("over"))
+
+
+class Aligned:
+    """A text's ids on either side in order, the number of the group of each, and its links."""
+
+    def __init__(self, row, doc_id, ends: np.ndarray, over: np.ndarray):
+        self.row, self.doc_id, self.links = row, doc_id, over
+        a, b = (ends & 2) > 0, (ends & 1) > 0
+        group = np.cumsum(a & b) - (a & b)
+        self.a, self.b, self.group_a, self.group_b = over[a] >> 32, over[b] & 0xFFFFFFFF, group[a], group[b]
+        self.n_groups = int((a & b).sum())
+
+    def groups(self) -> str:
+        """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
+        if not self.n_groups:
+            return ""
+        place_a = np.arange(len(self.a)) + np.searchsorted(self.group_b, self.group_a)
+        place_b = np.arange(len(self.b)) + np.searchsorted(self.group_a, self.group_b, "right")
+        marked = np.empty(len(self.a) + len(self.b), np.int64)
+        marked[place_a] = self.a * 4 + np.where(np.diff(self.group_a, prepend=-1) > 0, 0, 1)
+        marked[place_b] = self.b * 4 + np.where(np.diff(self.group_b, prepend=-1) > 0, 2, 1)
+        return "".join(map(_marked, marked.tolist()))[1:]
+
+
+@cache
+def _marked(number: int) -> str:
+    """An id with the sign before it."""
+    return ";,|"[number % 4] + str(number // 4)
+
+
+def _texts(batches):
+    """Lists of texts (Aligned), a batch's at a time. A text's lines may go on in the next batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        row, ends, over = (batch.column(i).fill_null(-1).to_numpy() for i in (0, 2, 3))
+        cuts = (np.flatnonzero(np.diff(row)) + 1).tolist()
+        out = []
+        for x, y in zip([0, *cuts], [*cuts, len(row)]):
+            if held and held[0][0] != row[x]:
+                out.append(_whole(held))
+                held = []
+            # a line without ids is a text without tokens
+            to = x if over[x] < 0 else y
+            held.append((int(row[x]), batch.column(1)[x].as_py(), ends[x:to], over[x:to]))
+        yield out
+    yield [_whole(held)] if held else []
+
+
+def _whole(held: list[tuple]) -> Aligned:
+    return Aligned(*held[0][:2], *(np.concatenate([h[i] for h in held])[::-1] for i in (2, 3)))
+
+
+def _lists(parts: list[list[np.ndarray]], names: list[str], types: list) -> pa.ListArray:
+    """For each text a list of structs, from one array for each field."""
+    flat = [np.concatenate(p) if p else np.empty(0, np.int64) for p in zip(*parts)] if parts else [np.empty(0, np.int64)] * len(names)
+    ends = np.append(0, np.cumsum([len(p[0]) for p in parts]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f, t) for f, t in zip(flat, types)], names))
 
 
 def alignment(docs: DataFrame, *args) -> DataFrame:
@@ -200,40 +228,29 @@ def alignment(docs: DataFrame, *args) -> DataFrame:
     pair of ids has. Lazy; arguments are those of stretches."""
 
     def run(batches):
-        for batch in batches:
-            groups, links, sizes = [], [], []
-            for a, ga, b, gb, over in _parted(batch.column(1)):
-                pairs, n = np.unique(over, return_counts=True)
-                groups.append(groups_text(a, ga, b, gb))
-                links.append((pairs, n))
-                sizes.append(len(pairs))
-            pairs = np.concatenate([p for p, _ in links]) if links else np.empty(0, np.int64)
-            each = pa.StructArray.from_arrays([pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(np.concatenate([n for _, n in links]) if links else pairs)], ["a", "b", "n"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), each)], ["doc_id", "groups", "links"])
+        for texts in _texts(batches):
+            counted = [np.unique(t.links, return_counts=True) for t in texts]
+            links = _lists([[p >> 32, p & 0xFFFFFFFF, n] for p, n in counted], ["a", "b", "n"], [pa.int64()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([t.doc_id for t in texts], pa.int64()), pa.array([t.groups() for t in texts], pa.string()), links], ["doc_id", "groups", "links"])
 
-    return _cells(docs, *args).select("doc_id", "cells").mapInArrow(run, "doc_id long, groups string, links array<struct<a:long,b:long,n:long>>")
+    return _cells(docs, *args).mapInArrow(run, "doc_id long, groups string, links array<struct<a:long,b:long,n:long>>")
 
 
-def _digests(cells: DataFrame) -> DataFrame:
-    import hashlib
+_DIGEST = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<pair:long,n:int>>"
 
-    names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
+
+def _digests(cells: DataFrame) -> DataFrame:
+    names = [c.split()[0] for c in _DIGEST.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            counts, shas, links, sizes = [], [], [], []
-            for a, ga, b, gb, over in _parted(batch.column(2)):
-                pairs, n = np.unique(over, return_counts=True)
-                counts.append((len(a), len(b), int(ga[-1]) + 1 if len(a) else 0, len(over)))
-                shas.append(hashlib.sha256(groups_text(a, ga, b, gb).encode()).hexdigest() if len(a) else "")
-                links.append((pairs, n))
-                sizes.append(len(pairs))
-            numbers = np.array(counts, np.int64).reshape(len(counts), 4)
-            pairs = np.concatenate([p for p, _ in links]) if links else np.empty(0, np.int64)
-            each = pa.StructArray.from_arrays([pa.array(pairs), pa.array(np.concatenate([n for _, n in links]).astype(np.int32) if links else np.empty(0, np.int32))], ["pair", "n"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(numbers[:, i].copy()) for i in range(4)), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), each)], names)
+        for texts in _texts(batches):
+            counted = [np.unique(t.links, return_counts=True) for t in texts]
+            numbers = [(t.row, t.doc_id, len(t.a), len(t.b), t.n_groups, len(t.links)) for t in texts]
+            shas = [hashlib.sha256(t.groups().encode()).hexdigest() if t.n_groups else "" for t in texts]
+            columns = [pa.array(c, pa.int64()) for c in zip(*numbers)] if texts else [pa.array([], pa.int64())] * 6
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shas, pa.string()), _lists([[p, n] for p, n in counted], ["pair", "n"], [pa.int64(), pa.int32()])], names)
 
-    return cells.mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<pair:long,n:int>>")
+    return cells.mapInArrow(run, _DIGEST)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -252,19 +269,17 @@ def link_scores(docs: DataFrame, *args) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row for each row of docs, repeated rows
     too. Texts that are null, empty or rewritten by a tokenizer have no tokens: zeros and ''. Texts are whole: the longest
     one takes the memory of its tokens as one array. Empty docs give an empty table; other columns aren't read."""
-    import uuid
-
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/aligned-{uuid.uuid4().hex}"
     _digests(_cells(docs, *args)).write.parquet(at)
     told = spark.read.parquet(at)
-    each = told.select("row", F.explode("pairs").alias("x")).select("row", "x.pair", "x.n")
-    counts = checkpointed(pair_counts(each.select(*_halves("pair"))).select((F.shiftleft("a", 32) + F.col("b")).alias("pair"), "docs", "best"))
-    held = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n")).first()
+    each = told.select("row", F.explode("pairs").alias("x")).select("row", "x.pair", F.col("x.n").alias("times"))
+    counts = checkpointed(pair_counts(each.select(*_halves("pair"))).select((F.shiftleft("a", 32) + F.col("b")).alias("pair"), F.col("docs").alias("n"), "best"))
+    held = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
     if held["k"] <= BROADCAST_PAIRS:
         scored = each.join(F.broadcast(counts), "pair")
     else:
-        scored = look_up(each, counts.withColumn("of", F.col("docs")), "pair", held["n"])
-    sums = scored.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("docs") * F.col("n")).alias("count_sum"))
+        scored = look_up(each, counts, "pair", held["n"])
+    sums = scored.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return told.drop("pairs").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

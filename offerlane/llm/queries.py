@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.llm import align, decontaminate, exact, language, licenses, packing, quality, resample, simhash, tokens, urls, warc
+from offerlane.llm import align, decontaminate, exact, language, licenses, packing, quality, resample, simhash, suffixes, tokens, urls, warc
 from offerlane.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_license_scan, op3_exact_dedup, op4_url_filter, op5_warc, op6_benchmark_decontamination, op7_quality_classifier,
-        op8_language_id, op9_token_counts, op10_packing, op11_token_alignment, op12_importance_resampling, pipeline,
+        op8_language_id, op9_token_counts, op10_packing, op11_token_alignment, op12_importance_resampling, op13_suffix_dedup, pipeline,
     )
 }
 
