@@ -28,7 +28,9 @@ from offerlane.llm.common import CHUNK_BYTES, checkpointed, flat, look_up, run_h
 
 LENGTH, PART = 200, 64
 #: Contexts of one part that are compared in one task (some 300 bytes each), and bytes of contexts in a range.
-GROUP, RANGE_BYTES = 30_000, 8 << 20
+GROUP, RANGE_BYTES = 30_000, 4 << 20
+#: Tasks that merge runs, at most; more ranges share tasks.
+PARTS = 20_000
 #: One row in SAMPLE is asked for hot parts, which are dealt to SALTS; it decides where they are counted, not whether.
 SAMPLE, HOT, SALTS = 64, 50_000, 512
 #: Bytes of covers that are broadcast for texts with many copies.
@@ -316,7 +318,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, part:
             covers = covers.unionByName(hit.where("once").select("key", "first", F.col("first").alias("last")))
         else:
             ranges = max(docs.sparkSession.sparkContext.defaultParallelism, n * 2 * length // RANGE_BYTES + 1)
-            runs = _sorted_runs(found, length, ranges)
+            runs = _sorted_runs(found, length, ranges).repartition(min(PARTS, ranges), "range")
             covers = covers.unionByName(runs.groupBy("range").applyInArrow(_merge_runs(length, part), "key binary, first int, last int"))
     held = covers.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("covers"))
     return held.join(copies, "key")
