@@ -110,12 +110,17 @@ def door_delivery(spark, sf_dir):
 
 # what texts say
 
-_SOLD_SQL = """regexp_matches(d, '(^|[^a-zäöüß0-9_])(bereits|schon|ist|wurde|leider)[ \\n\\t]+(verkauft|reserviert|vergeben|weg)($|[^a-zäöüß0-9_])') OR regexp_matches(d, '(^|[^a-z0-9_])(already|has been|is)[ \\n\\t]+sold($|[^a-z0-9_])') OR contains(d, 'no longer available') OR contains(d, 'nie meer beschikbaar')
-OR regexp_matches(d, 'nicht[ \\n\\t]+mehr[ \\n\\t]+(verf[uü]gbar|zu[ \\n\\t]+haben|da)($|[^a-zäöüß0-9_])')"""
+# one row for each word that follows another, and phrases as joined words
+_SOLD_SQL = """w AS (SELECT doc_id, row_number() OVER () AS nth, t, list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
+follows AS (SELECT nth, words[i] AS a, words[i + 1] AS b FROM (SELECT nth, words, unnest(range(1, length(words))) AS i FROM w)),
+happened(a, b) AS (SELECT x, y FROM (VALUES ('bereits'), ('schon'), ('ist'), ('wurde'), ('leider')) l(x), (VALUES ('verkauft'), ('reserviert'), ('vergeben'), ('weg')) r(y)
+  UNION ALL VALUES ('already', 'sold'), ('been', 'sold'), ('is', 'sold'), ('déjà', 'vendu'), ('al', 'verkocht')),
+said AS (SELECT DISTINCT nth FROM follows JOIN happened USING (a, b)),
+no_more AS (SELECT nth FROM w, (VALUES ('nicht mehr verfügbar'), ('nicht mehr verfugbar'), ('nicht mehr zu haben'), ('nicht mehr da'), ('no longer available'), ('nie meer beschikbaar')) p(phrase) WHERE contains(concat(' ', array_to_string(words, ' '), ' '), concat(' ', phrase, ' ')))"""
 
 
-@query(f"""WITH c AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[0-9][0-9.,]*[ ]*[+]?[ ]*(verkauft|sold|verkocht|vendus?|venduti?)($|[^a-z])', ' ', 'g') AS d, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, {_SOLD_SQL} AS sold,
-regexp_matches(t, 'für bastler|als defekt|defekt verkauft|for (parts|spares)|not working|non funzionante|hors service|werkt niet') AS defective, regexp_matches(t, 'nur (an )?(selbst)?abhol|nur zur abholung|keine?n? versand') AS pickup_only FROM c""")
+@query(f"""WITH {_SOLD_SQL} SELECT doc_id, nth IN (SELECT nth FROM said) OR nth IN (SELECT nth FROM no_more) AS sold,
+regexp_matches(t, 'für bastler|als defekt|defekt verkauft|for (parts|spares)|not working|non funzionante|hors service|werkt niet') AS defective, regexp_matches(t, 'nur (an )?(selbst)?abhol|nur zur abholung|keine?n? versand') AS pickup_only FROM w""")
 def sale_marks(spark, sf_dir):
     """What whole texts say of the sale: gone, broken, or only for collection."""
     t = F.lower(F.coalesce("text", F.lit("")))

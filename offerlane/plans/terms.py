@@ -20,18 +20,28 @@ six = lambda c: F.round(c * 1e6) / 1e6
 
 # words
 
-_FOLDED_SQL = "translate(replace(replace(replace(replace(lower(coalesce({}, '')), 'ß', 'ss'), 'ü', 'ue'), 'ö', 'oe'), 'ä', 'ae'), 'éèêëàâáçôóùûúîïí', 'eeeeaaacoouuuiii')"
-_NORMAL_SQL = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(^|[^a-z0-9])i[- ]*(?:phone|pfon|fon|phon)($|[^a-z0-9])', '\\1iphone\\2', 'g'), '(^|[^a-z0-9])i[- ]+pad($|[^a-z0-9])', '\\1ipad\\2', 'g'),
-'([0-9]) *(?:giga(?:bytes?|s)?|go|gigabyte)($|[^a-z0-9])', '\\1 gb\\2', 'g'), '([0-9]) *terabytes?($|[^a-z0-9])', '\\1 tb\\2', 'g'), '([0-9])[+]', '\\1 plus', 'g'), '([0-9])(pro|ti|fe)($|[^a-z0-9])', '\\1 \\2\\3', 'g'), '(^|[^0-9.,])([0-9])[.,]([0-9])($|[^0-9.,])', '\\1\\2p\\3\\4', 'g'), '[^a-z0-9]+', ' ', 'g'))"""
-
-
-@query(f"SELECT doc_id, md5({_NORMAL_SQL.format(_FOLDED_SQL.format('text'))}) AS words_md5 FROM documents")
+# words as rows: cut at blanks, then into simple words, then numbers from what is glued to them; then tables of units and names
+_WORDS_SQL = r"""w0 AS (SELECT doc_id, nth, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, row_number() OVER () AS nth, list_filter(regexp_split_to_array(
+  translate(replace(replace(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), 'ü', 'ue'), 'ö', 'oe'), 'ä', 'ae'), 'éèêëàâáçôóùûúîïí', 'eeeeaaacoouuuiii'), '[^a-z0-9.,+]+'), lambda x: x <> '') AS words FROM documents)),
+w1 AS (SELECT nth, i, unnest(p) AS w, generate_subscripts(p, 1) AS j FROM (SELECT nth, i, CASE WHEN regexp_matches(trim(w, '.,'), '^[0-9][.,][0-9]$') THEN [replace(replace(trim(w, '.,'), '.', 'p'), ',', 'p')]
+  ELSE string_split_regex(regexp_replace(translate(trim(w, '.,'), '.,', '  '), '([0-9]) *[+]', '\1 plus ', 'g'), '[ +]+') END AS p FROM w0)),
+w2 AS (SELECT nth, i, j, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT nth, i, j, CASE WHEN regexp_extract(w, '^[0-9]+([a-z]+)$', 1) IN (SELECT unnest(['gigabyte', 'gigabytes', 'giga', 'gigas', 'go', 'terabyte', 'terabytes', 'fe', 'ti', 'pro']))
+  THEN [regexp_extract(w, '^[0-9]+'), regexp_extract(w, '[a-z]+$')] ELSE [w] END AS p FROM w1 WHERE w <> '')),
+units(w, unit) AS (VALUES ('gigabyte', 'gb'), ('gigabytes', 'gb'), ('giga', 'gb'), ('gigas', 'gb'), ('go', 'gb'), ('terabyte', 'tb'), ('terabytes', 'tb')),
+names(a, b, name) AS (VALUES ('i', 'phone', 'iphone'), ('i', 'phon', 'iphone'), ('i', 'pfon', 'iphone'), ('i', 'fon', 'iphone'), ('i', 'pad', 'ipad'), ('iphon', NULL, 'iphone'), ('ipfon', NULL, 'iphone'), ('ifon', NULL, 'iphone')),
+w3 AS (SELECT nth, i, j, k, coalesce(CASE WHEN regexp_matches(before, '^[0-9p]*[0-9]$') THEN unit END, w) AS w FROM (SELECT *, lag(w) OVER (PARTITION BY nth ORDER BY i, j, k) AS before FROM w2) LEFT JOIN units USING (w)),
+w4 AS (SELECT *, lag(w) OVER (PARTITION BY nth ORDER BY i, j, k) AS before, lead(w) OVER (PARTITION BY nth ORDER BY i, j, k) AS after FROM w3),
+w5 AS (SELECT w4.*, coalesce(two.name, one.name, w) AS word FROM w4 LEFT JOIN names two ON two.a = w AND two.b = after LEFT JOIN names one ON one.a = w AND one.b IS NULL WHERE NOT EXISTS (FROM names n WHERE n.a = before AND n.b = w)),
+normal AS (SELECT d.doc_id, coalesce(t, '') AS t FROM (SELECT doc_id, row_number() OVER () AS nth FROM documents) d LEFT JOIN (SELECT nth, string_agg(word, ' ' ORDER BY i, j, k) AS t FROM w5 GROUP BY nth) USING (nth))"""
+
+
+@query(f"WITH {_WORDS_SQL} SELECT doc_id, md5(t) AS words_md5 FROM normal")
 def normalised_texts(spark, sf_dir):
     """Whole texts in one spelling of names, units and marks (told by the MD5 of what comes out)."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(terms.normalise(F.coalesce("text", F.lit("")))).alias("words_md5"))
 
 
-@query(f"""WITH n AS (SELECT doc_id, concat(' ', {_NORMAL_SQL.format(_FOLDED_SQL.format('text'))}, ' ') AS t FROM documents) SELECT doc_id, regexp_matches(t, ' (schleifpapier|(staub|filter)beutel|tintenpatrone|tonerkartusche|saegeblatt|ersatzakku) ')
+@query(f"""WITH {_WORDS_SQL}, n AS (SELECT doc_id, concat(' ', t, ' ') AS t FROM normal) SELECT doc_id, regexp_matches(t, ' (schleifpapier|(staub|filter)beutel|tintenpatrone|tonerkartusche|saegeblatt|ersatzakku) ')
  AND NOT regexp_matches(t, ' (mit|inkl|with|und) (schleifpapier|(staub|filter)beutel|tintenpatrone|tonerkartusche|saegeblatt|ersatzakku) ') AS consumable,
  contains(t, ' the ') AND regexp_matches(t, ' (laptop|notebook|desktop|server|nas|konsole) ') AND least(CASE WHEN contains(t, ' laptop ') THEN strpos(t, ' laptop ') ELSE 1000000000 END, CASE WHEN contains(t, ' notebook ') THEN strpos(t, ' notebook ') ELSE 1000000000 END,
  CASE WHEN contains(t, ' desktop ') THEN strpos(t, ' desktop ') ELSE 1000000000 END, CASE WHEN contains(t, ' server ') THEN strpos(t, ' server ') ELSE 1000000000 END, CASE WHEN contains(t, ' nas ') THEN strpos(t, ' nas ') ELSE 1000000000 END, CASE WHEN contains(t, ' konsole ') THEN strpos(t, ' konsole ') ELSE 1000000000 END) < strpos(t, ' the ') AS built_in FROM n""")

@@ -74,9 +74,21 @@ def test_codes(spark):
     assert another("ICY BOX IB-287-C31") and not another("IB-3740-C") and not another("Crucial DDR4-3200") and not another("IB-3740-C31")
 
 
-@pytest.mark.parametrize("text, sold", [("leider schon verkauft", True), ("wurde reserviert.", True), ("500 verkauft, noch da", False), ("already sold", True), ("1.200+ sold", False), ("nicht mehr verfügbar", True), ("wird verkauft", False), ("is no longer available", True), ("der hund ist weggelaufen", False), ("", False)])
-def test_text_says_sold(spark, text, sold):
-    assert value(spark, sale.text_says_sold(F.lit(text))) is sold
+SOLD = {
+    "leider schon verkauft": True, "wurde reserviert.": True, "500 verkauft, noch da": False, "already sold": True, "1.200+ sold": False, "nicht mehr verfügbar": True, "wird verkauft": False,
+    "is no longer available": True, "der hund ist weggelaufen": False, "": False, "ist\nweg": True, "ist weg!": True, "has been sold": True, "nicht mehr zu haben": True, "noch zu haben": False,
+    "nie meer beschikbaar": True, "déjà vendu": True, "al verkocht.": True, "wird verkauft, da ich gewechselt habe": False, "schon 500 verkauft": False, "nicht mehr dabei": False, "ist das schon weg": True,
+}
+SOLD_TITLES = {
+    "VERKAUFT": True, "[SOLD] Canon": True, "Canon - reserviert": True, "12 verkocht": False, "1.000+ sold": False, "Pixel 9 (vendu)": True, "Bosch unverkauft": False, "Sold out tour poster": True, "no longer available": True,
+    "Netbook": False, "": False, "vergeben!": True, "Réservé pour Anne": True, "seit 2019 verkauft": False, "schon verkauft": True, "goldsold": False, "sold": True, "nicht mehr da": True, "verhandelt": True, "Weg": False,
+}
+
+
+def test_texts_and_titles_say_sold(spark):
+    for cases, says in ((SOLD, sale.text_says_sold), (SOLD_TITLES, sale.title_says_sold)):
+        rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", says(F.col("t")).alias("s")).collect()
+        assert {r["t"]: r["s"] for r in rows} == cases
 
 
 def test_sale_marks(spark):
@@ -127,7 +139,11 @@ def test_as_of_takes_the_last_state(spark):
 
 
 def test_normalised_words(spark):
-    cases = {"Apple i-Phone 15 ProMax, 256 Gigabyte": "apple iphone 15 promax 256 gb", "RTX 3060Ti Größe 2 TeraByte!": "rtx 3060 ti groesse 2 tb", "Café 7,9 Zoll S23+": "cafe 7p9 zoll s23 plus", "i pad 500 Go": "ipad 500 gb", "": ""}
+    cases = {
+        "Apple i-Phone 15 ProMax, 256 Gigabyte": "apple iphone 15 promax 256 gb", "RTX 3060Ti Größe 2 TeraByte!": "rtx 3060 ti groesse 2 tb", "Café 7,9 Zoll S23+": "cafe 7p9 zoll s23 plus", "i pad 500 Go": "ipad 500 gb", "": "",
+        "Iphon 13pro + Hülle": "iphone 13 pro huelle", "i i phone 256go, go home": "i iphone 256 gb go home", "Ipfon 11": "iphone 11", "1.250,5": "1 250 5", "Wie Neu+": "wie neu", "6+ 7 +": "6 plus 7 plus", "S24FE": "s24fe", "24FE": "24 fe",
+        "12.5": "12 5", "3.5.": "3p5", "(Neu) [OVP]": "neu ovp", "ÉTÉ": "ete", "512GB": "512gb", "256 giga": "256 gb", "  ": "", "go 5 go": "go 5 gb", "i phone i phone": "iphone iphone", "+": "",
+    }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", terms.normalise(F.col("t")).alias("n")).collect()
     assert {r["t"]: r["n"] for r in rows} == cases
 
