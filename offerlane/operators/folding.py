@@ -1,95 +1,211 @@
-"""Copies of one offer across markets.
-
-Offers of one title (letters and digits, twelve at least) are one offer unless two of them are apart: stated places that
-differ, different prices in one currency, or facts that contradict. A copy without a place may join either of two places
-but mustn't bring them together, so joining is greedy, in input order, and refused where any member is apart.
-
-Rows that agree in all that is compared are first collapsed, by a grouped minimum; only a title's distinct rows meet in
-a task.
+"""Copies of one offer across markets, as groups that hold no two members that are apart.
+
+Two rules say that two offers may be copies. By title: the same letters and digits, twelve at least. By place: different
+markets, one place, one price in one currency, and either most words of the shorter title (three at least) in the other, or
+one year and nearly one mileage. Two offers are apart where stated places differ, prices in one currency differ (but within
+one family of markets, which shows one item at several prices), or years, mileages or powers contradict.
+
+Pairs are joined in order (the rule; for the second, the first offer of its price; the two offers), and two groups never
+where any member of the one is apart from any of the other. What keeps groups apart fits in a row for each group, however
+many its members: its place and year, the least and greatest mileage and power, and its prices by currency and family. So no
+group is gathered, and groups are joined in rounds: each group names the first of its pairs that can still join. A group
+whose own first pair is first for both takes in, pair by pair, those that named it, up to the first pair that didn't: until
+then, and up to the next pair of any that it has taken in, nothing could have come between, so the groups are those that
+joining pair by pair gives.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FACTS = ["place", "currency", "price_cents", "first_year", "mileage_km", "power_kw"]
-
-
-def close(a: int, b: int) -> bool:
-    return abs(a - b) <= max(100, max(a, b) // 100)
-
-
-def apart(a: tuple, b: tuple) -> bool:
-    """On (place, currency, price, year, mileage, power); None is unstated."""
-    place, currency, price, year, km, kw = zip(a, b)
-    stated = lambda p: p[0] is not None and p[1] is not None
-    return (
-        (stated(place) and place[0] != place[1])
-        or (currency[0] == currency[1] and price[0] != price[1])
-        or (stated(year) and year[0] != year[1])
-        or (stated(km) and not close(*km))
-        or (stated(kw) and abs(kw[0] - kw[1]) > 1)
-    )
-
-
-def fold_nodes(nodes: list[tuple[str, tuple]]) -> list[str]:
-    """For each (name, facts), in order, the name of the group's first member."""
-    groups: list[list[int]] = []
-    at: dict[int, int] = {}
-    placed: dict = {}
-    for i, (_, facts) in enumerate(nodes):
-        own = len(groups)
-        groups.append([i])
-        at[i] = own
-        # stated places that differ are apart, so only rows of this place, or of none, are looked at
-        here = range(i) if facts[0] is None else sorted(placed.get(facts[0], []) + placed.get(None, []))
-        placed.setdefault(facts[0], []).append(i)
-        for j in here:
-            a, b = at[j], at[i]
-            if a != b and not apart(nodes[j][1], facts) and not any(apart(nodes[x][1], nodes[y][1]) for x in groups[a] for y in groups[b]):
-                for y in groups[b]:
-                    at[y] = a
-                groups[a] += groups[b]
-                groups[b] = []
-    return [nodes[min(groups[at[i]])][0] for i in range(len(nodes))]
+from offerlane.sources.shared import checkpointed
+
+FACTS = ["place", "currency", "price_cents", "first_year", "mileage_km", "power_kw", "family", "platform"]
+TITLE_LENGTH, WORDS, SHARE = 12, 3, 0.8
+ROUNDS = 500
+
+
+def close_numbers(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= F.greatest(F.lit(100), F.floor(F.greatest(a, b) / 100))
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Stated on both sides, and not the same."""
+    return F.coalesce(a != b, F.lit(False))
+
+
+def _contradict(a: str, b: str) -> Column:
+    c = lambda side, name: F.col(f"{side}.{name}")
+    km = F.coalesce(~close_numbers(c(a, "mileage_km"), c(b, "mileage_km")), F.lit(False))
+    return _differ(c(a, "first_year"), c(b, "first_year")) | km | F.coalesce(F.abs(c(a, "power_kw") - c(b, "power_kw")) > 1, F.lit(False))
+
+
+def facts_conflict(a: dict, b: dict) -> bool:
+    """Whether two groups can't be one, from what is known of all their members."""
+    for name in ("place", "year"):
+        if a[name] is not None and b[name] is not None and a[name] != b[name]:
+            return True
+    for name in ("km", "kw"):
+        if a[name] is not None and b[name] is not None:
+            low, high = min(a[name][0], b[name][0]), max(a[name][1], b[name][1])
+            if high - low > (max(100, high // 100) if name == "km" else 1):
+                return True
+    for currency, family, low, high in a["prices"]:
+        for other, kin, least, most in b["prices"]:
+            if currency == other and not (family is not None and family == kin) and not low == high == least == most:
+                return True
+    return False
+
+
+def facts_joined(a: dict, b: dict) -> dict:
+    prices = {(c, f): (low, high) for c, f, low, high in a["prices"]}
+    for c, f, low, high in b["prices"]:
+        own = prices.get((c, f), (low, high))
+        prices[c, f] = min(own[0], low), max(own[1], high)
+    span = lambda x, y: x or y if not (x and y) else [min(x[0], y[0]), max(x[1], y[1])]
+    first = lambda x, y: y if x is None else x
+    return {
+        "place": first(a["place"], b["place"]), "year": first(a["year"], b["year"]), "km": span(a["km"], b["km"]), "kw": span(a["kw"], b["kw"]),
+        "prices": [[c, f, *v] for (c, f), v in prices.items()],
+    }
+
+
+def _facts_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, facts): what is known of a group's members, as JSON."""
+    rows = nodes.join(roots, "node")
+    span = lambda c: F.when(F.count(c) > 0, F.array(F.min(c), F.max(c)))
+    known = rows.groupBy("root").agg(F.max("place").alias("place"), F.max("first_year").alias("year"), span("mileage_km").alias("km"), span("power_kw").alias("kw"))
+    priced = rows.groupBy("root", "currency", "family").agg(F.min("price_cents").alias("low"), F.max("price_cents").alias("high"))
+    prices = priced.groupBy("root").agg(F.to_json(F.collect_list(F.struct("currency", "family", "low", "high")), {"ignoreNullFields": "false"}).alias("prices"))
+    return known.join(prices, "root").select("root", F.to_json(F.struct("place", "year", "km", "kw", "prices"), {"ignoreNullFields": "false"}).alias("facts"))
+
+
+def _read(facts: str) -> dict:
+    known = json.loads(facts)
+    known["prices"] = [[p["currency"], p["family"], p["low"], p["high"]] for p in json.loads(known["prices"])]
+    return known
+
+
+def _viable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pdf[[not facts_conflict(_read(a), _read(b)) for a, b in zip(pdf["facts_x"], pdf["facts_y"])]]
+
+
+def _taken(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (x, y, turn, named, then, facts_x, facts_y), each x's together and in turn -> (y, x) for each y that x takes in.
+    then is the turn of y's next pair: once y is in, x's later pairs have to wait for it."""
+    now, facts, open_, until = None, {}, False, None
+    for pdf in frames:
+        out = []
+        for x, y, turn, named, then, mine, other in zip(*(pdf[c] for c in ("x", "y", "turn", "named", "then", "facts_x", "facts_y"))):
+            if x != now:
+                now, facts, until = x, _read(mine), None
+                open_ = y > x  # the lesser of two that named each other takes the other in
+            open_ = open_ and bool(named) and (until is None or turn < until)
+            if open_ and not facts_conflict(facts, their := _read(other)):
+                facts = facts_joined(facts, their)
+                until = min((t for t in (until, then) if isinstance(t, str)), default=None)
+                out.append((y, x))
+        yield pd.DataFrame(out, columns=["root", "into"])
+
+
+def title_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of one title that aren't apart. Joined by what has to be equal: currency and price, or currency and
+    family; or across currencies, where places are equal or unstated."""
+    able = nodes.where(F.length("key") >= TITLE_LENGTH)
+    a, b = able.alias("a"), able.alias("b")
+    eq = lambda *cols: [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cols]
+    rest = (F.col("a.node") < F.col("b.node")) & ~_differ(F.col("a.place"), F.col("b.place")) & ~_contradict("a", "b")
+    other_price = ~F.col("a.price_cents").eqNullSafe(F.col("b.price_cents"))
+    met = [
+        a.join(b, [*eq("key", "currency", "price_cents"), rest]),
+        a.join(b, [*eq("key", "currency", "family"), rest & other_price]),
+        a.join(b, [*eq("key", "place"), rest & (F.col("a.currency") != F.col("b.currency"))]),
+        a.join(b, [*eq("key"), rest & (F.col("a.currency") != F.col("b.currency")) & (F.col("a.place").isNull() | F.col("b.place").isNull())]),
+    ]
+    out = met[0].select("a.node", F.col("b.node").alias("other"))
+    for m in met[1:]:
+        out = out.unionByName(m.select("a.node", F.col("b.node").alias("other")))
+    return out.select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1).alias("rule"), F.lit("").alias("lead"))
+
+
+def place_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of different markets, one place and one price that say the same thing. Of the words of the shorter
+    title so few may be missing in the other that one of its rarest words is there: those fetch the candidates."""
+    block = ["place", "currency", "price_cents"]
+    able = nodes.where("place is not null and price_cents is not null")
+    several = able.groupBy(*block).agg(F.min("platform").alias("one"), F.max("platform").alias("other")).where("one <> other")
+    able = checkpointed(able.join(several, block, "left_semi").withColumn("size", F.size("words")))
+    words = able.where(F.col("size") >= WORDS).select("node", *block, "platform", "size", "words", F.explode("words").alias("word"))
+    rare = words.join(words.groupBy(*block, "word").agg(F.count(F.lit(1)).alias("n")), [*block, "word"])
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "word"))
+    few = rare.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * SHARE) + 1)
+    s, t = few.alias("s"), words.alias("t")
+    same = lambda *cols: [F.col(f"s.{c}") == F.col(f"t.{c}") for c in cols]
+    shared = F.size(F.array_intersect("s.words", "t.words")) >= F.col("s.size") * SHARE
+    by_words = s.join(t, [*same(*block, "word"), (F.col("s.node") != F.col("t.node")) & (F.col("s.size") <= F.col("t.size")) & shared])
+    s, t = able.alias("s"), able.alias("t")
+    by_facts = s.join(t, [*same(*block, "first_year"), (F.col("s.node") < F.col("t.node")) & close_numbers(F.col("s.mileage_km"), F.col("t.mileage_km"))])
+    ends = [F.least("s.node", "t.node").alias("a"), F.greatest("s.node", "t.node").alias("b")]
+    met = by_words.select(*ends).unionByName(by_facts.select(*ends)).distinct()
+    lead = nodes.groupBy("currency", "price_cents").agg(F.min("node").alias("lead"))
+    left, right = able.alias("l"), able.alias("r")
+    met = met.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
+    met = met.where((F.col("l.platform") != F.col("r.platform")) & ~_contradict("l", "r"))
+    return met.join(lead, [F.col("l.currency") == lead["currency"], F.col("l.price_cents") == lead["price_cents"]]).select("a", "b", F.lit(2).alias("rule"), "lead")
+
+
+def grouped(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root): the groups that joining pairs(a, b, rule, lead) in order gives, each told by its first node. Nodes
+    without a pair are left out."""
+    pairs = checkpointed(pairs.select("a", "b", F.concat_ws("\x01", "rule", "lead", "a", "b").alias("turn")))
+    roots = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    nodes = checkpointed(nodes.join(roots, "node", "left_semi"))
+    left = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "turn")
+    for _ in range(ROUNDS):
+        facts = _facts_of(nodes, roots)
+        told = lambda side: facts.select(F.col("root").alias(side), F.col("facts").alias(f"facts_{side}"))  # noqa: E731, B023
+        near = left.groupBy("x", "y").agg(F.min("turn").alias("turn")).join(told("x"), "x").join(told("y"), "y")
+        near = checkpointed(near.mapInPandas(_viable, near.schema))
+        if near.isEmpty():
+            return roots
+        both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "turn", F.col("facts_y").alias("facts_x"), F.col("facts_x").alias("facts_y")))
+        first = both.groupBy("x").agg(F.min("turn").alias("first"))
+        then = both.join(first, "x").where(F.col("turn") != F.col("first")).groupBy("x").agg(F.min("turn").alias("then"))
+        named = first.join(then, "x", "left").select(F.col("x").alias("y"), "first", "then")
+        asked = both.join(named, "y").withColumn("named", F.col("turn") == F.col("first"))
+        # only a group whose first pair is also the other's first takes others in
+        opens = asked.join(first.select("x", F.col("first").alias("own")), "x").groupBy("x").agg(F.max(((F.col("turn") == F.col("own")) & F.col("named")).cast("int")).alias("opens")).where("opens = 1")
+        asked = asked.join(opens, "x", "left_semi").repartition("x").sortWithinPartitions("x", "turn")
+        into = checkpointed(asked.mapInPandas(_taken, "root string, into string"))
+        roots = checkpointed(roots.join(into, "root", "left").select("node", F.coalesce("into", "root").alias("root")))
+        moved = near.select("x", "y", "turn").join(into.withColumnsRenamed({"root": "x", "into": "x2"}), "x", "left").join(into.withColumnsRenamed({"root": "y", "into": "y2"}), "y", "left")
+        moved = moved.select(F.coalesce("x2", "x").alias("x"), F.coalesce("y2", "y").alias("y"), "turn").where("x <> y")
+        left = checkpointed(moved.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "turn"))
+    raise RuntimeError(f"groups did not settle in {ROUNDS} rounds")
 
 
 def fold_copies(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, offer, copies): offer is the cheapest, then first, row of the group."""
-    key = F.regexp_replace(F.lower("title"), "[^\\p{L}\\p{N}]", "")
-    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), *_FACTS)
-    # too short a title proves nothing: such rows stay alone
-    rows = rows.withColumn("key", F.when(F.length("key") >= 12, F.col("key")))
-    nodes = rows.where("key is not null").groupBy("key", *_FACTS).agg(F.min("id").alias("node"))
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def folded() -> list[tuple[str, str]]:
-            return [(n, r) for (n, _), r in zip(held, fold_nodes(held))]
-
-        for pdf in frames:
-            out: list[tuple[str, str]] = []
-            values = pdf[_FACTS].astype(object).where(pdf[_FACTS].notna(), None)
-            for k, node, facts in zip(pdf["key"], pdf["node"], values.itertuples(index=False, name=None)):
-                if k != key:
-                    out += folded()
-                    key, held = k, []
-                held.append((node, facts))
-            yield pd.DataFrame(out, columns=["node", "root"])
-        yield pd.DataFrame(folded(), columns=["node", "root"])
-
-    # one pass over sorted rows, so that short groups cost nothing but their rows
-    roots = nodes.repartition("key").sortWithinPartitions("key", "node").mapInPandas(walk, "node string, root string")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ["key", *_FACTS]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    named = rows.alias("r").join(nodes.alias("n"), cond, "left").select("r.id", "r.price_cents", "n.node")
-    grouped = named.join(roots, "node", "left").select("id", "price_cents", F.coalesce("root", "id").alias("root"))
-    lead = grouped.groupBy("root").agg(F.min(F.struct("price_cents", "id")).alias("lead"), F.count(F.lit(1)).alias("copies"))
-    return grouped.join(lead, "root").select("id", F.col("lead.id").alias("offer"), "copies")
+    """(id, offer, copies): offer is the cheapest, then first, row of the group. Ids give the order in which offers are
+    joined. Rows that agree in title, market and all facts are one node (but for short titles); a null fact is unstated. A frame without a
+    column family or platform has no families, or one market. A title without letters or digits, or null, joins nothing by title."""
+    title = F.coalesce(F.col("title"), F.lit(""))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(title), "[^\\p{L}\\p{N}]+"), lambda w: w != "")))
+    for name in ("family", "platform"):
+        df = df.withColumn(name, F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string"))
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.regexp_replace(F.lower(title), "[^\\p{L}\\p{N}]", "").alias("key"), words.alias("words"), *FACTS)
+    # by title equal rows are copies; where the title says too little, each row is a node of its own
+    rows = rows.withColumn("alone", F.when(F.length("key") < TITLE_LENGTH, F.col("id")))
+    same = ["key", "words", "alone", *FACTS]
+    nodes = checkpointed(rows.groupBy(*same).agg(F.min("id").alias("node")))
+    roots = grouped(nodes, title_pairs(nodes).unionByName(place_pairs(nodes)))
+    which = F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256)
+    named = nodes.join(roots, "node", "left").select(which.alias("which"), F.coalesce("root", "node").alias("root"))
+    members = rows.select(which.alias("which"), "id", "price_cents").join(named, "which").drop("which")
+    lead = members.groupBy("root").agg(F.min(F.struct("price_cents", "id")).alias("lead"), F.count(F.lit(1)).alias("copies"))
+    return members.join(lead, "root").select("id", F.col("lead.id").alias("offer"), "copies")

@@ -1,8 +1,12 @@
 """Rules on small data."""
 
+import collections
 import itertools
 import json
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerlane.functions import money, text
@@ -74,10 +78,85 @@ def test_a_copy_without_a_place_does_not_join_two_places(spark):
             ("4", "Phone number one x", "munich", "EUR", 100, None, None, None), ("5", "short", "a", "EUR", 1, None, None, None), ("6", "short", "a", "EUR", 1, None, None, None), ("7", "Phone number one x", "munich", "EUR", 120, None, None, None)]
     got = {r["id"]: (r["offer"], r["copies"]) for r in folding.fold_copies(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"1": ("2", 3), "2": ("2", 3), "4": ("2", 3), "3": ("3", 1), "5": ("5", 1), "6": ("6", 1), "7": ("7", 1)}
-    for perm in itertools.permutations([("a", ("p", "E", 1, None, None, None)), ("b", (None, "F", 2, None, None, None)), ("c", ("q", "E", 1, None, None, None))]):
-        roots = folding.fold_nodes(list(perm))
-        place = {n: r for (n, _), r in zip(perm, roots)}
-        assert place["a"] != place["c"] and place["b"] in (place["a"], place["c"])
+
+
+def slow_groups(rows):
+    """Pair by pair, all members of both groups compared."""
+    def close(a, b):
+        return abs(a - b) <= max(100, max(a, b) // 100)
+
+    def contradict(a, b):
+        both = lambda c: a[c] is not None and b[c] is not None
+        return (both("first_year") and a["first_year"] != b["first_year"]) or (both("mileage_km") and not close(a["mileage_km"], b["mileage_km"])) or (both("power_kw") and abs(a["power_kw"] - b["power_kw"]) > 1)
+
+    def apart(a, b):
+        if a["place"] is not None and b["place"] is not None and a["place"] != b["place"]:
+            return True
+        kin = a["family"] is not None and a["family"] == b["family"]
+        return contradict(a, b) or (not kin and a["currency"] == b["currency"] and a["price_cents"] != b["price_cents"])
+
+    def words(r):
+        return set(re.findall(r"[^\W_]+", r["title"].lower()))
+
+    def match(a, b):
+        if a["platform"] == b["platform"] or a["place"] is None or a["place"] != b["place"] or contradict(a, b):
+            return False
+        x, y = words(a), words(b)
+        n = min(len(x), len(y))
+        vehicle = a["first_year"] is not None and a["first_year"] == b["first_year"] and a["mileage_km"] is not None and b["mileage_km"] is not None and close(a["mileage_km"], b["mileage_km"])
+        return (n >= 3 and len(x & y) >= n * 0.8) or vehicle
+
+    rows = sorted(rows, key=lambda r: r["id"])
+    group = {r["id"]: [r] for r in rows}
+
+    def join(a, b):
+        x, y = group[a["id"]], group[b["id"]]
+        if x is not y and not any(apart(p, q) for p in x for q in y):
+            x += y
+            for r in y:
+                group[r["id"]] = x
+
+    titles, prices = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        titles["".join(re.findall(r"[^\W_]+", r["title"].lower()))].append(r)
+        prices[r["currency"], r["price_cents"]].append(r)
+    for key, some in titles.items():
+        for a, b in itertools.combinations(some, 2) if len(key) >= 12 else ():
+            if not apart(a, b):
+                join(a, b)
+    for some in prices.values():
+        for a, b in itertools.combinations(some, 2):
+            if match(a, b):
+                join(a, b)
+    out = {}
+    for r in rows:
+        members = group[r["id"]]
+        out[r["id"]] = (min(members, key=lambda m: (m["price_cents"], m["id"]))["id"], len(members))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_hold_no_two_that_are_apart(spark, seed):
+    rng = random.Random(seed)
+    titles = ["Crafter 35 hoch lang", "Crafter 35 hoch, lang", "VW Crafter 35 hoch lang AHK", "VW Crafter hoch", "VW", "Sprinter 316 lang hoch"]
+    names = "id string, title string, platform string, family string, place string, currency string, price_cents long, first_year int, mileage_km long, power_kw int"
+    rows = []
+    for i in range(300):
+        market = rng.choice(["a", "b", "k1", "k2"])
+        rows.append((f"{i:04}", rng.choice(titles), market, "k" if market[0] == "k" else None, rng.choice(["munich", "vienna", "graz", None]), rng.choice(["EUR", "CHF"]), rng.choice([100, 200, 300]), rng.choice([2019, 2020, None, None]), rng.choice([10_000, 10_090, 10_180, 90_000, 90_700, None]), rng.choice([80, 81, 82, None, None])))
+    df = spark.createDataFrame(rows, names)
+    got = {r["id"]: (r["offer"], r["copies"]) for r in folding.fold_copies(df).collect()}
+    want = slow_groups([r.asDict() for r in df.collect()])
+    assert got == want
+    assert 1 < len({o for o, _ in want.values()}) < 300 and max(n for _, n in want.values()) > 3
+
+
+def test_folding_odd_rows(spark):
+    names = "id string, title string, platform string, place string, currency string, price_cents long, first_year int, mileage_km long, power_kw int, words string, root string"
+    rows = [("1", None, None, None, None, None, None, None, None, "x", "y"), ("1", None, None, None, None, None, None, None, None, "x", "y"), ("2", "", "a", "p", "EUR", 5, None, None, None, None, None), ("3", "Some long title here " * 500, "a", "p", "EUR", 5, None, None, None, None, None), ("4", "some LONG title here " * 500, "b", "p", "EUR", 5, None, None, None, None, None)]
+    got = sorted((r["id"], r["offer"], r["copies"]) for r in folding.fold_copies(spark.createDataFrame(rows, names)).collect())
+    assert got == [("1", "1", 2), ("1", "1", 2), ("2", "2", 1), ("3", "3", 2), ("4", "3", 2)]
+    assert folding.fold_copies(spark.createDataFrame([], names)).count() == 0
 
 
 def test_drop_steps():
