@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerlane.operators import folding, relevance
+from offerlane.operators import folding, probe, relevance
 from offerlane.plans.registry import query
 from offerlane.sources.tables import LISTINGS_SQL, listings, observations, table
 from offerlane.streaming import drops
@@ -39,3 +39,11 @@ def logistic_score(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") < 5).cast("double").alias("label"))
     model = LogisticRegression(maxIter=50, regParam=0.001, elasticNetParam=0.0).fit(e)
     return model.transform(e).select("vec_id", F.round(vector_to_array("probability")[1], 4).alias("score"))
+
+
+@query()
+def linear_probe(spark, sf_dir):
+    """The class that a probe, learned from nine tenths of the vectors, tells for each vector."""
+    e = table(spark, sf_dir, "embeddings")
+    model = probe.fit(e.where("vec_id % 10 <> 0"), "label", "embedding", epochs=30)
+    return probe.tell(e, model, "vec_id", "embedding").select("vec_id", "said", F.round("score", 6).alias("score"))

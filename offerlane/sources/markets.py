@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -65,5 +66,35 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def replace_store(df: DataFrame, path: str) -> None:
-    """Write a store as a whole: what is there stays until the new one is complete."""
-    df.write.mode("overwrite").json(path)
+    """Write a store as a whole: what is there stays until the new one is complete.
+
+    The new store is written beside the old one, and only then takes its name; the old one is renamed first and deleted last.
+    A failed write leaves the old store as it is, and the part that was written under a name of its own. Should the driver be
+    lost between the two renames, the old store is whole under `<path>.old-...`; read_whole_store finds it there."""
+    spark = df.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs, mark = at.getFileSystem(hadoop), uuid.uuid4().hex
+    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{name}-{mark}") for name in ("new", "old"))
+    df.write.json(new.toString())
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"{path} could not be renamed")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"{new.toString()} could not be renamed")
+    if had:
+        fs.delete(old, True)
+
+
+def read_whole_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A store as replace_store left it, even if it was stopped between its renames."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        left = sorted(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-*")), key=lambda f: f.getModificationTime())
+        if left:
+            fs.rename(left[-1].getPath(), at)
+    return spark.read.schema(schema).json(path)
