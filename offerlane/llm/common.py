@@ -73,16 +73,25 @@ def look_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str =
     return here.unionByName(there.select(*rows.columns, *values))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one value, so that no name of theirs meets another."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+
+
+def row_hash(row: Column) -> Column:
+    """Orders rows of any types, maps too, the same way in every run."""
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
 def one_row(docs: DataFrame, mark, kept: DataFrame) -> DataFrame:
-    """Exactly one row of docs, with all its columns, for each mark of kept(mark, n), whose n is at least the number of
-    docs' rows that have it. Of several rows the least by all columns stays. Marks may hold nulls: they are told by hash."""
-    told = lambda c: F.sha2(F.to_json(c, {"ignoreNullFields": "false"}), 256)
-    found = checkpointed(kept.select(told(F.col("mark")).alias("_mark"), "n"))
+    """Exactly one row of docs, with all its columns, whatever their names and types, for each mark of kept(mark, n), whose n
+    is at least the number of docs' rows that have it. Of several rows the one with the least hash of all columns stays.
+    Marks may hold nulls: they are told by hash."""
+    found = checkpointed(kept.select(row_hash(F.struct("mark")).alias("mark"), "n"))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = look_up(docs.select("*", told(mark).alias("_mark")), found, "_mark", total)
-    alone, several = rows.where("n = 1"), rows.where("n > 1")
-    several = several.groupBy("_mark").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return alone.select(*docs.columns).unionByName(several.select("row.*"))
+    rows = look_up(docs.select(row_hash(F.struct(mark.alias("mark"))).alias("mark"), packed(docs).alias("row")), found, "mark", total)
+    several = rows.where("n > 1").groupBy("mark").agg(F.min_by("row", row_hash(F.col("row"))).alias("row"))
+    return rows.where("n = 1").select("row.*").unionByName(several.select("row.*"))
 
 
 def fold(col_id: str, parts: int):

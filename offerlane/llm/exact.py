@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import checkpointed, look_up, one_row, ship
+from offerlane.llm.common import checkpointed, look_up, one_row, packed, row_hash, ship
 from offerlane.llm.fuse import FuseFilter
 
 #: Digests in a shard: what one task builds a filter of, or screens, at a time.
@@ -129,7 +129,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a null id stay only in a group that has no id. Empty tables give empty results; other columns aren't read.
     """
     rows, groups, differ = _decided(docs, id_col, text_col)
-    found = rows.select("doc_id", "sha", "rank").join(groups, "sha")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = look_up(rows.select("doc_id", "sha", "rank"), groups.select("sha", "best", "n"), "sha", total)
     if differ is not None:
         split = _normalised(docs, id_col, text_col).join(differ, "sha", "left_semi").select("doc_id", "sha", _rank().alias("rank"), "norm")
         by_text = split.groupBy("sha", "norm").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
@@ -147,7 +148,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mark = F.struct(sha.alias("sha"), points, F.col(id_col).cast("long").alias("id"))
     if differ is None:
         return one_row(docs, mark, groups.select(F.struct("sha", "best.points", "best.id").alias("mark"), "n"))
-    told = docs.select(F.struct(*docs.columns).alias("row"), sha.alias("sha"), norm.alias("norm"), F.struct(points, F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.struct(*docs.columns).alias("row")).alias("rank"))
-    split = told.join(differ, "sha", "left_semi").groupBy("sha", "norm").agg(F.min("rank").alias("first")).select("first.row.*")
+    rank = F.struct(points, F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), row_hash(packed(docs)).alias("hash"))
+    told = docs.select(packed(docs).alias("row"), sha.alias("sha"), norm.alias("norm"), rank.alias("rank"))
+    split = told.join(differ, "sha", "left_semi").groupBy("sha", "norm").agg(F.min_by("row", "rank").alias("row")).select("row.*")
     kept = groups.join(differ, "sha", "left_anti").select(F.struct("sha", "best.points", "best.id").alias("mark"), "n")
     return one_row(docs, mark, kept).unionByName(split)

@@ -701,3 +701,26 @@ def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, odd, none):
     near_kept = [(r[0], r[1]) for r in corpus_pipeline.near_stage(spark, odd, d).collect()]
     assert collections.Counter(t for _, t in near_kept if t and t.strip()) == collections.Counter({"Alpha beta gamma delta epsilon": 1, "no id here": 1, "word " * 30_000: 1, ODD[9][1]: 1, "12345 !!!": 1})
     assert len(near_kept) == 6 and corpus_pipeline.packing_stage(spark, none, d).count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, monkeypatch):
+    """Names that the operators use themselves, names with dots, maps and arrays; where equal digests differ in text too."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, n string, hot int, _mark string, row string, key string, sha string, mark int, `a.b` int, many map<string,int>, list array<int>, norm string, rank int"
+    extra = ("x", 1, "m", "r", "k", "s", 5, 7, {"a": 1}, [1, 2], "z", 3)
+    texts = ["one two three four five six", "one  two three four five six", "another text of some words here", None, "", None]
+    rows = [(i if i != 4 else None, t, *extra) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, names)
+    kept = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    want = {(1, texts[1]): 1, (2, texts[2]): 1, (3, None): 1}
+    for hashed in (False, True):
+        if hashed:  # all texts under few digests
+            monkeypatch.setattr(exact, "differing", lambda docs, groups, *a: groups.select("sha"))
+        got = corpus_pipeline.exact_stage(spark, docs, SMALL)
+        assert got.columns == docs.columns and kept(got) == want and got.first()["a.b"] == 7
+    near = corpus_pipeline.near_stage(spark, docs, SMALL)
+    assert near.columns == docs.columns and kept(near) == {(0, texts[0]): 1, (2, texts[2]): 1, (3, None): 1}
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.decontamination_stage):
+        assert stage(spark, docs, SMALL).columns == docs.columns
+    assert corpus_pipeline.packing_stage(spark, docs, SMALL).count() >= len(rows)
