@@ -7,8 +7,9 @@ are similar enough link.
 
 Texts under one key are all compared while they are few. Of more, all are compared with two, the most central ones:
 those that stand under the most and largest keys. Texts that this leaves in another component than most texts of their
-key are then compared with all of other components there, but for pairs that can't be similar enough: shingles that no
-other text under large keys has bound how much a text can share. No key's texts are ever gathered in one row or task.
+key are then compared with all of other components there, but for texts that can't be similar enough: shingles that no
+other text under large keys has bound how much a text can share. These comparisons are made in cells, each of two parts of
+a key's texts, so no key's texts are ever gathered in one row or task, and pairs aren't rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SIMILARITY = (4, 5)
 KEYS, LEAST = 40, 6
 #: Texts under one key that are all compared, and those that are compared with all of a larger key.
 FEW, HUBS = 16, 2
+#: Texts of a large key in a part; a task compares those of two parts.
+PART = 192
 #: Large keys whose facts are broadcast to their rows (40 bytes each); more are joined. Bytes of texts that are broadcast.
 BROADCAST_KEYS, BROADCAST_TEXTS = 300_000, 32 << 20
 #: Texts that are looked up whose keys are broadcast (48 bytes each).
@@ -109,10 +112,16 @@ class Texts:
         return checkpointed(self.rows.join(wanted, "sha").groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")))
 
 
+def _may_be_similar(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """pairs(a, b) whose numbers of shingles don't rule it out."""
+    a, b = sizes.select(F.col("node").alias("a"), F.col("size").alias("x")), sizes.select(F.col("node").alias("b"), F.col("size").alias("y"))
+    return pairs.join(a, "a").join(b, "b").where(SIMILARITY[1] * F.least("x", "y") >= SIMILARITY[0] * F.greatest("x", "y")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: Texts, words: int) -> DataFrame:
     """Of pairs(a, b), those whose texts are similar. The end that stands in more pairs comes last: its text is broadcast
     where it is a hub's, so that rows with a text aren't shuffled for it."""
-    pairs = checkpointed(pairs.distinct())
+    pairs = checkpointed(pairs)
     degree = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
     found = texts.of(degree)
     ends = pairs
@@ -166,8 +175,9 @@ def _hub_pairs(under: DataFrame, few: bool) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
-def _stray_pairs(under: DataFrame, roots: DataFrame, sizes: DataFrame, texts: Texts, words: int, few: bool) -> DataFrame:
-    """under(key, node): pairs of nodes of one key and different roots that may be similar enough."""
+def _strays(under: DataFrame, roots: DataFrame, sizes: DataFrame, texts: Texts, words: int, few: bool) -> DataFrame:
+    """under(key, node) -> (key, n, node, root, size, shared, stray): of keys whose nodes have several roots, the nodes that
+    may be similar enough to another of the key. stray: not of the root that most have. n: such nodes of the key."""
     rooted = checkpointed(under.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     most = parts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n")).where("parts > 1")
@@ -175,13 +185,53 @@ def _stray_pairs(under: DataFrame, roots: DataFrame, sizes: DataFrame, texts: Te
     nodes = split.select("node").distinct()
     facts = nodes.join(sizes, "node").join(_unique(texts.of(nodes.select("node", F.lit(1).alias("n"))), words), "node", "left").select("node", "size", (F.col("size") - F.coalesce("u", F.lit(0))).alias("shared"))
     split = checkpointed(split.join(facts, "node"))
-    # 5 both >= 4 (a + b - both), and both is at most what either may share
-    may = lambda shared, sizes: 9 * shared >= 4 * sizes
     least = split.groupBy("key").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n"))
-    split = checkpointed(_told(split, least, few).where(may(F.col("shared"), F.col("size") + F.col("least"))).drop("least"))
-    x = split.where("root <> top").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "shared")))
-    met = x.join(split, "key").where((F.col("x_root") != F.col("root")) & may(F.least("x_shared", "shared"), F.col("x_size") + F.col("size")))
-    return met.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
+    # 5 both >= 4 (a + b - both), and both is at most what either may share
+    split = _told(split, least, few).where(9 * F.col("shared") >= 4 * (F.col("size") + F.col("least")))
+    split = checkpointed(split.select("key", "node", "root", "size", "shared", (F.col("root") != F.col("top")).alias("stray")))
+    held = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("long")).alias("strays")).where("n > 1 and strays > 0")
+    return _told(split, held.select("key", "n", F.col("n").alias("held")), few).select("key", F.col("held").alias("n"), "node", "root", "size", "shared", "stray")
+
+
+def _stray_links(strays: DataFrame, texts: Texts, words: int) -> DataFrame:
+    """(a, b): similar texts of one key and of different roots, one of them a stray. The texts of a key are dealt to parts of
+    about PART; each two parts (and each by itself) meet in a cell, a text in as many cells as its key has parts. Pairs are
+    made within a cell only, so neither they nor texts for them are ever rows."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = strays.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = dealt.select(F.xxhash64("key", F.least("part", "meets"), F.greatest("part", "meets")).alias("cell"), "node", "root", "size", "shared", "stray", "part")
+    wanted = cells.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    told = cells.join(texts.of(wanted).select("node", "text"), "node").select("cell", "node", "root", "size", "shared", "stray", "part", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        node, root, size, shared, stray, part = (group.column(c).to_numpy() for c in ("node", "root", "size", "shared", "stray", "part"))
+        sets = [shingle_set(t, words) for t in texts_of(group.column("text").combine_chunks())]
+        both = _common(sets)
+        able = (root[:, None] != root) & (stray[:, None] | stray) & (SIMILARITY[1] * both >= SIMILARITY[0] * (size[:, None] + size - both))
+        x, y = np.nonzero(np.triu(able, 1))
+        return pa.table([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+    return checkpointed(told.groupBy("cell").applyInArrow(run, "a long, b long").distinct())
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common, by products of 0/1 matrices over a slice of the shingles at a time."""
+    n, sizes = len(sets), [len(x) for x in sets]
+    out = np.zeros((n, n), np.int64)
+    values, which, count = np.unique(np.concatenate(sets) if n else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    of, alone = np.repeat(np.arange(n), sizes), count < 2
+    np.add.at(out, (np.arange(n), np.arange(n)), np.bincount(of[alone[which]], minlength=n))
+    column = np.cumsum(~alone) - 1
+    shared = ~alone[which]
+    of, at = of[shared], column[which[shared]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    for low in range(0, int((~alone).sum()), _STEP * 8):
+        x, y = np.searchsorted(at, [low, low + _STEP * 8])
+        m = np.zeros((n, _STEP * 8), np.float32)
+        m[of[x:y], at[x:y] - low] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,13 +252,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id",
     if n_large:
         pairs = pairs.unionByName(_hub_pairs(under, few))
     texts = Texts(docs, text_col, nodes)
-    links = _verified(pairs, texts, words)
+    links = _verified(_may_be_similar(pairs.distinct(), nodes.select("node", "size")), texts, words)
     roots = connected_components(links)
     if n_large:
-        more = checkpointed(_stray_pairs(under, roots, nodes.select("node", "size"), texts, words, few).distinct())
-        if not more.isEmpty():
-            links = links.unionByName(_verified(more, texts, words))
-            roots = connected_components(links)
+        strays = checkpointed(_strays(under, roots, nodes.select("node", "size"), texts, words, few))
+        if not strays.isEmpty():
+            roots = connected_components(links.unionByName(_stray_links(strays, texts, words)))
     whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = whole.agg(F.min(F.struct("best", "sha")).alias("first"), F.sum("n").alias("n")).select("first.*", "n")
     kept = kept.select(F.struct("sha", "best.id").alias("mark"), "n")

@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
+from offerlane.llm import near
 from offerlane.llm.common import table
 
 
@@ -44,6 +47,41 @@ def test_near_stage_links_a_large_group_and_rows_without_id(spark):
     assert sorted((r[1] or "").strip() for r in got if r[0] is None) == ["", "a text of its own without id here"]
 
 
+@pytest.mark.parametrize("part", [192, 7])
+def test_near_stage_compares_what_central_texts_do_not_reach(spark, part, monkeypatch):
+    """Groups under the same keys, too far from each other and from the keys' central texts."""
+    monkeypatch.setattr(near, "PART", part)
+    monkeypatch.setattr(near, "FEW", 3)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, rows = [word() for _ in range(240)], []
+    for centre in range(8):
+        middle = [w if rng.random() > 0.03 else word() for w in base]
+        for _ in range(9):
+            rows.append([w if rng.random() > 0.012 else word() for w in middle])
+    texts = {i: " ".join(ws[: rng.randrange(200, 241)]) for i, ws in enumerate(rows)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = slow_kept(texts)
+    assert {r["doc_id"] for r in near.without_near_copies(docs).collect()} == want and 1 < len(want) < len(texts)
+    # all under two keys, each alone but for two
+    sets = {i: near.shingle_set(t.encode(), 5) for i, t in texts.items()}
+    root = {i: max(i, 1) for i in texts}
+    own = spark.createDataFrame([(k, len(texts), i, root[i], len(sets[i]), i % 3 > 0) for k in (4, 5) for i in texts], "key long, n long, node long, root long, size long, stray boolean")
+    nodes = docs.select(near.text_sha("text").alias("sha"), docs.doc_id.alias("node"))
+    got = {tuple(r) for r in near._stray_links(own.withColumn("shared", own.size), near.Texts(docs, "text", nodes), 5).collect()}
+    assert got == {(a, b) for a in texts for b in texts if a < b and root[a] != root[b] and (a % 3 or b % 3) and near.similar(sets[a], sets[b])} and len(got) > 20
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
+    for step in (512, 1):
+        near._STEP, kept = step, near._STEP
+        got = near._common(sets)
+        near._STEP = kept
+        assert (got == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
 def test_dedup_stages_keep_one_row_of_each_group(spark):
     rows = [(None, "without id, alone"), (None, "without id, twice"), (None, "without id, twice"), (None, None), (None, "")]
     rows += [(1, "a repeated row"), (1, "a repeated row"), (2, "one id and two texts"), (2, "a copy of three"), (1, "a copy of three"), (3, "a copy of three")]
