@@ -235,8 +235,7 @@ def _prints(spark, sf_dir):
     """(doc_id, p): a print of 60 bits of each whole text's distinct words; likeness of words is likeness of bits."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda x: x != ""))
     hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", hashes.alias("h"))
-    return joins.majority_print(rows.where(F.size("h") > 0), "doc_id", "h", 60)
+    return joins.majority_print(table(spark, sf_dir, "documents").select("doc_id", hashes.alias("h")), "doc_id", "h")
 
 
 @query(f"WITH {_PRINTS_SQL} SELECT a.k AS a, b.k AS b, CAST(bit_count(xor(a.p, b.p)) AS INTEGER) AS bits FROM g a JOIN g b ON a.k < b.k AND bit_count(xor(a.p, b.p)) <= 3")

@@ -277,8 +277,6 @@ def test_nearest_in_blocks_is_brute_force(spark, monkeypatch):
 
 
 def test_prints_of_copies_are_one_row(spark):
-    from pyspark.sql import functions as F
-
     from offerlane.operators import joins
 
     p = 0x0F0F0F0F0F0F0F0F
@@ -287,5 +285,22 @@ def test_prints_of_copies_are_one_row(spark):
     assert [tuple(r) for r in joins.hamming_pairs(df, "id", "p").collect()] == [(0, 1000, 2)]
     members = {r["id"]: (r["first_id"], r["copies"]) for r in joins.print_members(df, "id", "p").collect()}
     assert members[299] == (0, 300) and members[1000] == (1000, 1) and 1002 not in members
-    hashes = spark.createDataFrame([(1, [0b111, 0b110, 0b010])], "id long, h array<long>")
-    assert joins.majority_print(hashes, "id", "h", 4).select(F.col("p")).first()["p"] == 0b110
+    hashes = spark.createDataFrame([(1, [0b111, 0b110, 0b010]), (2, []), (3, None), (4, [-1]), (5, [1, 2])], "id long, h array<long>")
+    assert {r["id"]: r["p"] for r in joins.majority_print(hashes, "id", "h").collect()} == {1: 0b110, 4: -1, 5: 0}
+
+
+def test_close_prints_with_and_without_hot_keys(spark):
+    import random
+
+    from offerlane.operators import joins
+
+    rng, prints = random.Random(5), []
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        prints += [centre ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(5))) for _ in range(12)]
+    telling = {p: i for i, p in reversed(list(enumerate(prints))) if 16 <= p.bit_count() <= 48}
+    want = {(i, j, (p ^ q).bit_count()) for p, i in telling.items() for q, j in telling.items() if i < j and (p ^ q).bit_count() <= 3}
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, p long")
+    assert len(want) > 100
+    for hot in (1000, 3):
+        assert {tuple(r) for r in joins.hamming_pairs(df, "id", "p", hot_size=hot).collect()} == want
