@@ -47,3 +47,16 @@ def sessions(df: DataFrame, keys: list[str], at: str, gap_seconds: int) -> DataF
     t = F.col(at).cast("timestamp")
     w = F.session_window(t, f"{gap_seconds} seconds")
     return df.groupBy(*keys, w).agg(F.min(at).alias("began"), F.max(at).alias("ended"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
+def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 1024) -> DataFrame:
+    """Rows with their place, from 0, in their key's order of a whole number: rows are numbered within ranges of `width`
+    numbers, and only the ranges' counts are summed up by key. Rows with a null key are a key of their own; equal numbers
+    are placed in any order."""
+    rows = df.withColumn("_range", F.floor(F.col(order) / width))
+    counts = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_key", "_of", before.alias("_start"))
+    within = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
+    joined = rows.withColumn("_within", within).join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_range", "_key", "_of", "_start", "_within")

@@ -314,8 +314,8 @@ def offered_sorts(spark, sf_dir):
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT source, CAST((rn - 1) // 50 AS BIGINT) AS batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY source, (rn - 1) // 50")
 def batches_of_fifty(spark, sf_dir):
     """Rows of a source in calls of fifty, in order."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(rn / 50).alias("batch"))
+    rows = windows.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", "place")
+    rows = rows.select("doc_id", "source", F.floor(F.col("place") / 50).alias("batch"))
     return rows.groupBy("source", "batch").agg(n_rows().alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlane.functions import health, terms, vans
 from offerlane.operators import registry as models
-from offerlane.operators import scoring
+from offerlane.operators import scoring, windows
 from offerlane.plans.offers import _EUR_SQL
 from offerlane.plans.others import _COS, _VEC_SQL
 from offerlane.plans.registry import query
@@ -107,24 +107,31 @@ def source_search(spark, sf_dir):
     return markets.search(spark, sf_dir, ["EUROPE", "AMERICA"], asked).select("id", "platform", "cents")
 
 
-@query("""WITH p AS (SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS BIGINT) AS page FROM documents WHERE doc_id % 9 <> 0), g AS (SELECT source, page, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT source, min(page) FILTER (n < 20) AS short FROM g GROUP BY source)
-SELECT source, page, n FROM g JOIN s USING (source) WHERE page <= coalesce(short, page) AND page < 3""")
+@query("""WITH p AS (SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS BIGINT) AS page FROM documents), g AS (SELECT source, page, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT source, min(page) FILTER (n < 20) AS short FROM g GROUP BY source)
+SELECT g.source, page, n FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source WHERE page <= coalesce(short, page) AND page < 3""")
 def page_stops(spark, sf_dir):
-    """Which pages of a source are read: three at most, and none after a short one."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    p = table(spark, sf_dir, "documents").where("doc_id % 9 <> 0").select("source", "doc_id", F.floor(rn / 20).alias("page"))
-    g = p.groupBy("source", "page").agg(n_rows().alias("n"))
-    short = g.where("n < 20").groupBy("source").agg(F.min("page").alias("short"))
-    return g.join(short, "source", "left").where((F.col("page") <= F.coalesce("short", "page")) & (F.col("page") < 3)).select("source", "page", "n")
+    """Which pages of a source are read: three at most, and none after a short one. Only the first 60 rows of a source can
+    matter, and no more than these leave a task."""
+    first = windows.first_per_key(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 60)
+    page = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 20)
+    g = first.select("source", page.alias("page")).groupBy("source", "page").agg(n_rows().alias("n"))
+    before = F.min(F.when(F.col("n") < 20, F.col("page"))).over(Window.partitionBy("source"))
+    return g.withColumn("short", before).where(F.col("page") <= F.coalesce("short", "page")).select("source", "page", "n")
 
 
 @query("""WITH a AS (SELECT event_id, concat(event_type, ':', user_id % 4) AS key, ts, lag(ts) OVER (PARTITION BY event_type, user_id % 4 ORDER BY ts, event_id) AS before FROM events) SELECT event_id, key, before IS NOT NULL AND ts - before <= INTERVAL 15 MINUTE AS hit FROM a""")
 def cache_hits(spark, sf_dir):
-    """Whether a search's answer is still cached from the ask before: the same normalised question within 15 minutes."""
-    e = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(":"), (F.col("user_id") % 4).cast("string")).alias("key"), "ts")
-    before = F.lag("ts").over(Window.partitionBy("key").orderBy("ts", "event_id"))
-    fresh = F.coalesce(F.col("ts") - F.expr("interval 15 minutes") <= F.col("before"), F.lit(False))
-    return e.withColumn("before", before).select("event_id", "key", fresh.alias("hit"))
+    """Whether a search's answer is still cached from the ask before: the same normalised question within 15 minutes. An ask
+    is a hit if another stands before it in its quarter of an hour, or late enough in the quarter before: two aggregates a
+    quarter, so that no question's asks come together."""
+    quarter = F.unix_date(F.col("ts").cast("date")) * 96 + F.floor((F.hour("ts") * 60 + F.minute("ts")) / 15)
+    e = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(":"), (F.col("user_id") % 4).cast("string")).alias("key"), "ts", quarter.alias("quarter"))
+    ends = e.groupBy("key", "quarter").agg(F.min(F.struct("ts", "event_id")).alias("first"), F.max("ts").alias("last"))
+    ends = ends.select("key", "quarter", "first", F.lit(None).cast(e.schema["ts"].dataType).alias("last")).union(ends.select("key", F.col("quarter") + 1, F.lit(None).cast(ends.schema["first"].dataType), "last"))
+    near = ends.groupBy(F.col("key").alias("_key"), F.col("quarter").alias("_quarter")).agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    hit = (F.struct("ts", "event_id") > F.col("first")) | F.coalesce(F.col("ts") - F.col("last") <= F.expr("INTERVAL 15 MINUTE"), F.lit(False))
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("quarter").eqNullSafe(F.col("_quarter"))
+    return e.join(near, same).select("event_id", "key", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 @query(f"{_OBS}, p AS (SELECT search, offer, time_bucket(INTERVAL 6 HOURS, seen) AS part, price_cents FROM observations) SELECT search, offer, min(part) AS emitted FROM p WHERE price_cents >= 1000 GROUP BY search, offer")
