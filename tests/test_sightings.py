@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from offerlane.operators import cooccurrence, windows
+from offerlane.operators import cooccurrence, naming, windows
 from offerlane.sources import connector
 
 
@@ -92,3 +92,27 @@ def test_numbered_by_ranges(spark):
     want = {(k, i): sum(1 for q, j in rows if q == k and j < i) for k, i in rows}
     got = windows.numbered(spark.createDataFrame(rows, "k string, i long"), "k", "i", "place", width=16)
     assert {(r["k"], r["i"]): r["place"] for r in got.collect()} == want
+
+
+def test_longest_names_by_automaton_and_by_join(spark):
+    rng = random.Random(9)
+    letters = ["aa", "b", "c", "dé", "7"]
+    names = {" ".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 6]))) for _ in range(60)} - {"b", "c"}
+    texts = [" ".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", "aa", "-- B,c;DÉ --", "aab caa", "aa 7 " * 4000]
+    want = set()
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        spans = {(i, i + n) for i in range(len(w)) for n in (1, 2, 3, 4, 6) if i + n <= len(w) and " ".join(w[i : i + n]) in names}
+        want |= {(k, " ".join(w[i:j]), i, j - i) for i, j in spans if not any(p <= i and j <= q and (p, q) != (i, j) for p in range(max(i - 6, 0), i + 1) for q in range(j, j + 7) if (p, q) in spans)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    known = spark.createDataFrame([(n,) for n in names] + [(None,), ("",), ("..",), *[(n.upper(),) for n in list(names)[:5]]], "n string")
+    for bound in (1 << 20, 0):
+        assert {tuple(r) for r in naming.longest_names(df, "id", "text", known, "n", inline_chars=bound).collect()} == want
+    assert naming.longest_names(df, "id", "text", known.where("false"), "n").count() == 0
+
+
+def test_ten_thousand_names(spark):
+    names = spark.range(10000).selectExpr("concat('model ', id) AS n")
+    texts = spark.createDataFrame([(1, "a model 77 and model 9999x, model 10000, MODEL 9999"), (2, "model")], "id long, text string")
+    for bound in (naming.INLINE_CHARS, 0):
+        assert {tuple(r) for r in naming.longest_names(texts, "id", "text", names, "n", inline_chars=bound).collect()} == {(1, "model 77", 1, 2), (1, "model 9999", 8, 2)}
