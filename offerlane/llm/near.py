@@ -33,7 +33,7 @@ KEYS, LEAST = 40, 6
 #: Texts under one key that are all compared, and those that are compared with all of a larger key.
 FEW, HUBS = 16, 2
 #: Texts of a large key in a part; a task compares those of two parts.
-PART = 512
+PART = 192
 #: Large keys whose facts are broadcast to their rows (40 bytes each); more are joined. Bytes of texts that are broadcast.
 BROADCAST_KEYS, BROADCAST_TEXTS = 300_000, 32 << 20
 #: Texts that are looked up whose keys are broadcast (48 bytes each).
