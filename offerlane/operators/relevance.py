@@ -43,22 +43,31 @@ def accessory_for(title: Column, query: str) -> Column:
     return F.rlike(F.lower(title), F.lit(f"(^|[^\\p{{L}}])({'|'.join(ACCESSORIES)})s? .*({'|'.join(FOR)}) .*{first}"))
 
 
-def relevance_reason(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
-    """df with relevance and drop_reason (null: it stays); every row stays in the table. The price rule looks at the
-    upper median of each answer (keys)."""
-    middle = upper_median(df.where(F.col("price_cents").between(0, SANE_CENTS)), "price_cents", keys, "_middle").drop("n")
-    # what hangs on the title alone is worked out once for each distinct title
-    titles = df.select("title").distinct().select("title", text.tokens(F.col("title")).alias("_words"), text.sizes_gb(F.col("title")).alias("_sizes"))
-    words = F.col("_words")
+def of_title(title: Column, query: Query) -> Column:
+    """What hangs on the title alone: (relevance, reason), reason null where no word rules the title out."""
+    said = F.array(F.struct(text.tokens(title).alias("words"), text.sizes_gb(title).alias("sizes"), title.alias("title")))
+    return F.get(F.transform(said, lambda s: _of_title(s["words"], s["sizes"], s["title"], query)), F.lit(0))
+
+
+def _of_title(words: Column, sizes: Column, title: Column, query: Query) -> Column:
     asks = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws))) & F.lit(not set(ws) & set(query.words.lower().split()))
-    of_title = (
+    reason = (
         F.when(asks(WANTED), "wanted ad")
         .when(asks(RENTAL), "rental")
-        .when(accessory_for(F.col("title"), query.words), "accessory")
+        .when(accessory_for(title, query.words), "accessory")
         .when(text.says_blocked(words, query.blocked) if query.blocked else F.lit(False), "blocked word")
     )
-    titles = titles.select("title", token_score(words, F.col("_sizes"), query.words).alias("relevance"), of_title.alias("_of_title"))
-    rows = df.join(titles, "title", "left").join(middle, keys, "left")
+    return F.struct(token_score(words, sizes, query.words).alias("relevance"), reason.alias("reason"))
+
+
+def relevance_reason(df: DataFrame, query: Query, keys: list[str]) -> DataFrame:
+    """df with relevance and drop_reason (null: it stays); every row stays in the table. The price rule looks at the
+    upper median of each answer (keys). What hangs on the title alone is worked out once for each distinct title, or
+    taken from a column _of_title (of_title), where whoever reads the rows has worked it out."""
+    middle = upper_median(df.where(F.col("price_cents").between(0, SANE_CENTS)), "price_cents", keys, "_middle").drop("n")
+    if "_of_title" not in df.columns:
+        df = df.join(df.select("title").distinct().withColumn("_of_title", of_title(F.col("title"), query)), "title", "left")
+    rows = df.withColumn("relevance", F.col("_of_title.relevance")).withColumn("_of_title", F.col("_of_title.reason")).join(middle, keys, "left")
     several = F.lit(len(set(query.words.split())) > 1)
     reason = (
         F.when(~F.col("price_cents").between(0, SANE_CENTS), "price")
