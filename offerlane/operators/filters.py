@@ -64,17 +64,20 @@ def within_band(cents: Column, low: Column, high: Column, track_low: Column, tra
     return ((low <= track_low) | (units >= F.floor(low))) & ((high >= track_high) | (units <= F.ceil(high)))
 
 
-def narrow(df: DataFrame, price: str, band: tuple[float, float], conditions: Choice, sale_types: Choice, new_ids: DataFrame | None = None, scams: DataFrame | None = None) -> DataFrame:
-    """Unsold offers within a price band (in units) and of the wanted kinds. Its two ends are held inside what there is."""
+def narrow(df: DataFrame, price: str, band: tuple[float, float], conditions: Choice, sale_types: Choice, new: DataFrame | Column | None = None, scams: DataFrame | Column | None = None) -> DataFrame:
+    """Unsold offers within a price band (in units) and of the wanted kinds. Its two ends are held inside what there is. Which
+    offers are new and which are scams is told by tables of ids or, where the rows tell it themselves, by conditions."""
     active = df.where(~F.col("sold"))
     ends = active.agg((F.min(price) / 100.0).alias("_lo"), F.greatest(F.max(price) / 100.0, F.min(price) / 100.0 + 1).alias("_hi"))
     held = lambda x: F.least(F.greatest(F.lit(float(x)), F.col("_lo")), F.col("_hi"))
     rows = active.crossJoin(F.broadcast(ends))  # one row
     rows = rows.where(within_band(F.col(price), held(band[0]), held(band[1]), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     rows = rows.where(conditions.matches(F.col("condition"))).where(sale_types.matches(F.col("sale_type")))
-    if new_ids is not None:
-        rows = rows.join(new_ids, "id", "left_semi")
-    return rows if scams is None else rows.join(scams, "id", "left_anti")
+    if new is not None:
+        rows = rows.where(new) if isinstance(new, Column) else rows.join(new, "id", "left_semi")
+    if scams is None:
+        return rows
+    return rows.where(~F.coalesce(scams, F.lit(False))) if isinstance(scams, Column) else rows.join(scams, "id", "left_anti")
 
 
 def round_robin(df: DataFrame, groups: list[str], order: str, limit: int) -> DataFrame:
