@@ -9,11 +9,13 @@ Texts under one key are all compared while they are few. Of more, all are compar
 those that stand under the most and largest keys. Texts that this leaves in another component than most texts of their
 key are then compared with all of other components there, but for texts that can't be similar enough: shingles that no
 other text under large keys has bound how much a text can share. These comparisons are made in cells, each of two parts of
-a key's texts, so no key's texts are ever gathered in one row or task, and pairs aren't rows.
+a key's texts, so no key's texts are ever gathered in one row or task, and pairs aren't rows. Keys that share texts are dealt
+as one where that sends on fewer texts, so a group of near copies under many keys isn't dealt again for each of them.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 from itertools import combinations
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlane.llm import simhash
-from offerlane.llm.common import checkpointed, look_up, one_row, ship, texts_of
+from offerlane.llm.common import checkpointed, look_up, one_row, shared_dir, ship, texts_of
 from offerlane.llm.components import connected_components
 
 #: Four of five, as whole numbers.
@@ -193,12 +195,32 @@ def _strays(under: DataFrame, roots: DataFrame, sizes: DataFrame, texts: Texts,
     return _told(split, held.select("key", "n", F.col("n").alias("held")), few).select("key", F.col("held").alias("n"), "node", "root", "size", "shared", "stray")
 
 
+def _joined_keys(strays: DataFrame) -> DataFrame:
+    """strays, where keys that share texts are one key if that puts texts into fewer cells than these keys by themselves do.
+    All texts that met still meet, and a text is a stray if it is one under any of the keys."""
+    total = strays.count()
+    vertex = F.col("key").bitwiseOR(F.lit(-1 << 63))  # nodes aren't negative
+    at = f"{shared_dir(strays.sparkSession)}/strays-{uuid.uuid4().hex}"
+    strays.select(vertex.alias("a"), F.col("node").alias("b")).write.parquet(at)  # what Spark knows of a checkpoint's values fails in the rounds' unions
+    found = connected_components(strays.sparkSession.read.parquet(at))
+    keys = strays.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("vertex", vertex)
+    keys = checkpointed(keys.join(found.select(F.col("node").alias("vertex"), "root"), "vertex", "left").select("key", "n", F.coalesce("root", "vertex").alias("block")))
+    dealt = lambda n: n * F.ceil(n / PART)
+    nodes = look_up(strays.select("key", "node"), keys, "key", total).select("block", "node").distinct()
+    nodes = nodes.groupBy("block").agg(F.count(F.lit(1)).alias("nodes"))
+    fewer = nodes.join(keys.groupBy("block").agg(F.sum(dealt(F.col("n"))).alias("apart")), "block").where(dealt(F.col("nodes")) < F.col("apart"))
+    told = checkpointed(look_up(strays.drop("n"), keys.join(fewer.select("block", "nodes"), "block", "left"), "key", total))
+    facts = [F.first(c).alias(c) for c in ("root", "size", "shared")]
+    one = told.where("nodes is not null").groupBy("block", "node").agg(F.first("nodes").alias("n"), *facts, F.max("stray").alias("stray"))
+    return told.where("nodes is null").select(*strays.columns).unionByName(one.withColumnRenamed("block", "key").select(*strays.columns))
+
+
 def _stray_links(strays: DataFrame, texts: Texts, words: int) -> DataFrame:
     """(a, b): similar texts of one key and of different roots, one of them a stray. The texts of a key are dealt to parts of
     about PART; each two parts (and each by itself) meet in a cell, a text in as many cells as its key has parts. Pairs are
     made within a cell only, so neither they nor texts for them are ever rows."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = strays.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = checkpointed(_joined_keys(strays)).withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), parts - 1)))
     cells = dealt.select(F.xxhash64("key", F.least("part", "meets"), F.greatest("part", "meets")).alias("cell"), "node", "root", "size", "shared", "stray", "part")
     wanted = cells.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     told = cells.join(texts.of(wanted).select("node", "text"), "node").select("cell", "node", "root", "size", "shared", "stray", "part", "text")

@@ -72,6 +72,20 @@ def test_near_stage_compares_what_central_texts_do_not_reach(spark, part, monkey
     assert got == {(a, b) for a in texts for b in texts if a < b and root[a] != root[b] and (a % 3 or b % 3) and near.similar(sets[a], sets[b])} and len(got) > 20
 
 
+def test_keys_that_share_texts_are_dealt_as_one_where_that_is_less(spark, monkeypatch):
+    monkeypatch.setattr(near, "PART", 4)
+    under = {k: range(k, k + 20) for k in range(10)} | {k: range(100 * k, 100 * k + 9) for k in (20, 21)}
+    under |= {30 + k: range(4000 + 8 * k, 4009 + 8 * k) for k in range(9)}  # a chain
+    rows = [(k, len(nodes), n, n % 7, 50 + n, 40, n == k) for k, nodes in under.items() for n in nodes]
+    strays = spark.createDataFrame(rows, "key long, n long, node long, root long, size long, shared long, stray boolean")
+    got = near._joined_keys(strays)
+    assert got.columns == strays.columns
+    got = [tuple(r) for r in got.collect()]
+    as_one = [r for r in got if r[2] < 100]
+    assert sorted(r[1:] for r in as_one) == [(29, n, n % 7, 50 + n, 40, n < 10) for n in range(29)] and len({r[0] for r in as_one}) == 1
+    assert sorted(r for r in got if r[2] >= 100) == sorted(r for r in rows if r[2] >= 100)
+
+
 def test_common_shingles():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
